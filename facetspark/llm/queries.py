@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quantiles, survivor
+from . import leakage, quantiles, survivor
 
-MODULES = (survivor, quantiles)
+MODULES = (survivor, quantiles, leakage)
 
 
 def queries() -> dict:

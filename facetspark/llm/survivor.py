@@ -147,7 +147,7 @@ v1 AS (
   SELECT id, standard_name, h,
     CASE WHEN max_value IS NULL OR isnan(max_value) OR max_value < 0 THEN 0 ELSE 1 END AS ok,
     CASE WHEN regexp_full_match(v, '\\d+(\\.\\d+)*')
-      THEN list_transform(range(0, 12), i -> coalesce(TRY_CAST(string_split(v, '.')[i + 1] AS BIGINT), 0)) END AS ver,
+      THEN list_transform(range(0, 12), lambda i: coalesce(TRY_CAST(string_split(v, '.')[i + 1] AS BIGINT), 0)) END AS ver,
     CASE WHEN regexp_full_match(s, '\\d{13}') THEN CAST(floor(TRY_CAST(s AS BIGINT) / 1000) AS BIGINT)
       WHEN regexp_full_match(s, '\\d{9,10}') THEN TRY_CAST(s AS BIGINT)
       WHEN regexp_matches(s, '^\\d{4}-\\d{1,2}-\\d{1,2}([ T]|$)') THEN CAST(floor(epoch(TRY_CAST(
