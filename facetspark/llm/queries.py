@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import leakage, quantiles, survivor
+from . import history, leakage, quantiles, survivor
 
-MODULES = (survivor, quantiles, leakage)
+MODULES = (survivor, history, quantiles, leakage)
 
 
 def queries() -> dict:
