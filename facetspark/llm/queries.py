@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import history, leakage, quantiles, survivor
+from . import history, leakage, neighbours, quantiles, survivor
 
-MODULES = (survivor, history, quantiles, leakage)
+MODULES = (survivor, history, neighbours, quantiles, leakage)
 
 
 def queries() -> dict:
