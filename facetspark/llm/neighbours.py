@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, small
 from .vectors import DIM, chord, matrix, sample_units, to_binary, usable
 
 LEAF = 512
@@ -147,15 +147,16 @@ def nearest(points: DataFrame, queries: DataFrame | None, spaces: list[str], k:
     points, queries: (space, id, vec) as vectors.usable returns them; queries None: every point is one.
     Without a useful least_cos the queries first look into their own cell to learn a radius.
     """
-    classes = cut(points.groupBy("space", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    members = cut(_copies(points))
+    extra = cut(members.filter("id <> lead").select("space", "id"))
+    classes = points.join(small(extra), ["space", "id"], "left_anti").select("space", "id", "vec")
     sizes = {r.space: r.n for r in classes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}
     routers = {s: Router.fit(sample_units(classes, s), sizes[s]) for s in spaces if s in sizes}
-    if queries is None:
-        asked, askers = classes.select("space", "id", "vec"), None
-    else:
-        askers = cut(queries.select("space", "vec", F.col("id").alias("asker")))
-        asked = askers.groupBy("space", "vec").agg(F.lit(0).alias("__")).drop("__").join(classes, ["space", "vec"]).select("space", "id", "vec")
-    start = float(chord(np.float64(max(least_cos, -1.0))))
+    start, askers, asked = float(chord(np.float64(max(least_cos, -1.0)))), None, classes
+    if queries is not None:
+        askers = cut(queries.select("space", "id"))
+        leads = askers.join(members, ["space", "id"], "left").select("space", F.coalesce("lead", "id").alias("id")).distinct()
+        asked = classes.join(leads, ["space", "id"], "left_semi")
     if least_cos <= 0:
         first = cut(_search(classes, asked.withColumn("radius", F.lit(0.0)), routers, k, factor, least_cos))
         far = first.groupBy("space", "id").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("worst"))
@@ -163,14 +164,24 @@ def nearest(points: DataFrame, queries: DataFrame | None, spaces: list[str], k:
         asked = asked.join(far, ["space", "id"], "left").select("space", "id", "vec", radius.alias("radius"))
     else:
         asked = asked.withColumn("radius", F.lit(start))
-    found = _search(classes, asked, routers, k, factor, least_cos)
+    found = _search(classes, asked, routers, k, factor, least_cos, itself=start if queries is None and least_cos > 0 else None)
     w = Window.partitionBy("space", "id").orderBy(F.desc("cos"), "neighbour")
     found = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
-    return _expanded(found, points, classes, askers, k)
+    return _expanded(found, members, askers, k)
+
 
+def _copies(points: DataFrame) -> DataFrame:
+    """(space, lead, id) of all points that share their vector with others; told by 128 bits, so no vector moves."""
+    keyed = points.select("space", "id", F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(1), "vec").alias("b"))
+    several = keyed.groupBy("space", "a", "b").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return keyed.join(small(cut(several)), ["space", "a", "b"]).select("space", "lead", "id")
 
-def _search(classes: DataFrame, asked: DataFrame, routers: dict[str, Router], k: int, factor: float, least: float) -> DataFrame:
-    """Up to k best of each class per task that held some of its cells."""
+
+def _search(classes: DataFrame, asked: DataFrame, routers: dict[str, Router], k: int, factor: float, least: float, itself: float | None = None) -> DataFrame:
+    """Up to k best of each class per task that held some of its cells.
+
+    itself: the radius if every point asks; the vectors of a task are then among its queries and aren't sent twice.
+    """
 
     def place(role: int):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +205,10 @@ def _search(classes: DataFrame, asked: DataFrame, routers: dict[str, Router], k:
                             times, chunk = router.parts[shard], ids[rows[r]] % router.chunks[shard]
                             r, shard, chunk = np.repeat(r, times), np.repeat(shard, times), np.repeat(chunk, times)
                             part_no = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+                            if itself is not None:
+                                home = router.shard[router.homes(x[rows])[0]]
+                                away = (shard != home[r]) | (part_no != ids[rows[r]] % router.parts[shard])
+                                r, shard, part_no, chunk = r[away], shard[away], part_no[away], chunk[away]
                         else:
                             cell, _ = router.homes(x[rows])
                             shard = router.shard[cell]
@@ -210,7 +225,7 @@ def _search(classes: DataFrame, asked: DataFrame, routers: dict[str, Router], k:
         return each
 
     schema = "space string, shard int, part int, chunk int, id long, vec binary, radius double"
-    held = classes.select("space", "id", "vec", F.lit(0.0).alias("radius"))
+    held = classes.withColumn("radius", F.lit(0.0))
     load = [(r.space, r.shard, r.role, r.n) for r in _loads(held, asked, place, schema)]
     for s, router in routers.items():
         for space, shard, role, n in load:
@@ -221,17 +236,19 @@ def _search(classes: DataFrame, asked: DataFrame, routers: dict[str, Router], k:
 
     def one(key, data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"space": [], "id": [], "neighbour": [], "cos": []})
-        if not len(data) or not len(ask):
-            return none
         router = routers[key[0]]
-        x, ids = matrix(data["vec"]), data["id"].to_numpy()
-        q, qid = matrix(ask["vec"]), ask["id"].to_numpy()
+        x, ids = matrix(data["vec"]), data["id"].to_numpy(np.int64)
+        q, qid, radius = matrix(ask["vec"]), ask["id"].to_numpy(np.int64), ask["radius"].to_numpy(np.float64)
+        if itself is not None and key[3] == 0:
+            q, qid, radius = np.concatenate([q, x]), np.concatenate([qid, ids]), np.concatenate([radius, np.full(len(x), itself)])
+        if not len(x) or not len(q):
+            return none
         top = Top(len(q), k, least)
         cell, _ = router.homes(x)
         here, trees = np.unique(cell), {}
         for a in range(0, len(q), 8192):
             rows = np.arange(a, min(a + 8192, len(q)))
-            goes = router.visits(q[rows], ask["radius"].to_numpy()[rows], factor)[:, here]
+            goes = router.visits(q[rows], radius[rows], factor)[:, here]
             own, _ = router.homes(q[rows])
             for first in (True, False):  # the query's own cell first: it narrows the radius for the others
                 for j, c in enumerate(here):
@@ -256,10 +273,8 @@ def _loads(held: DataFrame, asked: DataFrame, place, schema: str) -> list:
     return parts[0].unionByName(parts[1]).groupBy("space", "shard", "role").agg(F.count(F.lit(1)).alias("n")).collect()
 
 
-def _expanded(found: DataFrame, points: DataFrame, classes: DataFrame, askers: DataFrame | None, k: int) -> DataFrame:
-    """From classes of equal vectors back to their members."""
-    several = classes.filter("copies > 1").select("space", "vec", F.col("id").alias("lead"))
-    members = cut(points.join(several, ["space", "vec"]).select("space", "lead", "id"))
+def _expanded(found: DataFrame, members: DataFrame, askers: DataFrame | None, k: int) -> DataFrame:
+    """From one point per vector back to all its copies."""
     least = members.withColumn("r", F.row_number().over(Window.partitionBy("space", "lead").orderBy("id"))).filter(F.col("r") <= k + 1).select("space", "lead", F.col("id").alias("member"))
     near = found.join(least, (found.space == least.space) & (found.neighbour == least.lead), "left").select(found.space, found.id, F.coalesce("member", "neighbour").alias("neighbour"), "cos")
     rows = members.select("space", "lead", F.col("id").alias("own"))
@@ -267,7 +282,7 @@ def _expanded(found: DataFrame, points: DataFrame, classes: DataFrame, askers: D
     twins = rows.join(least, ["space", "lead"]).filter("own <> member").select("space", F.col("own").alias("id"), F.col("member").alias("neighbour"), F.lit(1.0).alias("cos"))
     both = near.unionByName(twins)
     if askers is not None:
-        both = both.join(askers.select("space", F.col("asker").alias("id")), ["space", "id"], "left_semi")
+        both = both.join(askers, ["space", "id"], "left_semi")
     w = Window.partitionBy("space", "id").orderBy(F.desc("cos"), "neighbour")
     return both.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import history, leakage, neighbours, quantiles, survivor
+from . import clusters, history, leakage, neighbours, quantiles, survivor
 
-MODULES = (survivor, history, neighbours, quantiles, leakage)
+MODULES = (survivor, history, neighbours, clusters, quantiles, leakage)
 
 
 def queries() -> dict:

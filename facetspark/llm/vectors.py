@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 DIM = 128
 #: Vectors sampled (those of least hash of their id) to choose vantage points from.
 SAMPLE = 4096
+#: Leaf entries a tree may hold before it is sent on.
+MOST_LEAVES = 8192
 
 
 def usable(df: DataFrame, spaces: dict[str, str], row_id: str = "id", dim: int = DIM) -> DataFrame:
