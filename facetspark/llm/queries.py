@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clusters, history, leakage, neighbours, quantiles, survivor
+from . import clusters, history, leakage, neighbours, packing, quantiles, subset, survivor
 
-MODULES = (survivor, history, neighbours, clusters, quantiles, leakage)
+MODULES = (survivor, history, subset, neighbours, clusters, quantiles, packing, leakage)
 
 
 def queries() -> dict:
