@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clusters, history, leakage, neighbours, packing, quantiles, subset, survivor
+from . import clusters, history, leakage, neighbours, packing, pii, quantiles, subset, survivor
 
-MODULES = (survivor, history, subset, neighbours, clusters, quantiles, packing, leakage)
+MODULES = (survivor, history, subset, neighbours, clusters, quantiles, packing, leakage, pii)
 
 
 def queries() -> dict:
