@@ -32,7 +32,7 @@ from .vectors import DIM, chord, matrix, sample_units, to_binary, usable
 
 LEAF = 512
 #: Vectors a cell should have, most vantage points, vectors of a shard, queries a task takes at once.
-CELL, MOST_VANTAGE, SHARD, ASKED = 200, 4096, 16_384, 65_536
+CELL, MOST_VANTAGE, SHARD, ASKED = 200, 4096, 32_768, 65_536
 FACTOR = 0.12
 
 
