@@ -151,7 +151,7 @@ def nearest(points: DataFrame, queries: DataFrame | None, spaces: list[str], k:
     extra = cut(members.filter("id <> lead").select("space", "id"))
     classes = points.join(small(extra), ["space", "id"], "left_anti").select("space", "id", "vec")
     sizes = {r.space: r.n for r in classes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}
-    routers = {s: Router.fit(sample_units(classes, s), sizes[s]) for s in spaces if s in sizes}
+    routers = {s: Router.fit(sample_units(classes, s, sizes[s]), sizes[s]) for s in spaces if s in sizes}
     start, askers, asked = float(chord(np.float64(max(least_cos, -1.0)))), None, classes
     if queries is not None:
         askers = cut(queries.select("space", "id"))

@@ -65,7 +65,17 @@ def chord(cos):
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
 
 
-def sample_units(points: DataFrame, space: str, size: int = SAMPLE) -> np.ndarray:
-    """At most ``size`` vectors of a space: those of least hash, so the same ones whatever the partitions."""
-    rows = points.filter(F.col("space") == space).orderBy(F.xxhash64("id"), "id").limit(size).select("vec").collect()
+def least_hashed(df: DataFrame, n: int, size: int, key: str, salt: int = 0) -> DataFrame:
+    """About ``size`` of the ``n`` rows, those of least hash, in its order: the same ones whatever the partitions.
+
+    Rows of a large hash are dropped where they are read, so partitions send few rows on, however many there are.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 1)
+    most = int(min(1.0, 2 * size / max(n, 1)) * (2**63 - 1))
+    return df.withColumn("__h", h).filter(F.col("__h") <= most).orderBy("__h", key).limit(size).drop("__h")
+
+
+def sample_units(points: DataFrame, space: str, n: int, size: int = SAMPLE) -> np.ndarray:
+    """At most ``size`` vectors of a space that has ``n``."""
+    rows = least_hashed(points.filter(F.col("space") == space), n, size, "id").select("vec").collect()
     return matrix([bytes(r.vec) for r in rows]) if rows else np.empty((0, DIM), np.float32)
