@@ -68,7 +68,7 @@ class VantageTree:
         inside = d <= middle
         self.search(q, qid, top, rows[inside], factor, near)
         self.search(q, qid, top, rows[~inside], factor, far)
-        reach = np.abs(d - middle) <= factor * top.radius(rows)
+        reach = (np.abs(d - middle) <= factor * top.radius(rows)) | top.short(rows)
         self.search(q, qid, top, rows[inside & reach], factor, far)
         self.search(q, qid, top, rows[~inside & reach], factor, near)
 
@@ -84,6 +84,10 @@ class Top:
     def radius(self, rows: np.ndarray) -> np.ndarray:
         return chord(np.maximum(self.cos[rows, -1], self.least))
 
+    def short(self, rows: np.ndarray) -> np.ndarray:
+        """Has fewer than k and no least cosine that would say how far to look: nothing may be pruned yet."""
+        return np.isneginf(self.cos[rows, -1]) & (self.least <= 0)
+
     def add(self, rows: np.ndarray, cos: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """cos: one row per query of ``rows``, one column per id. A point isn't its own neighbour."""
         floor = np.maximum(self.cos[rows, -1], self.least)

@@ -29,6 +29,8 @@ from .vectors import DIM, matrix, to_binary, units_of
 
 TEXT_DIM, TEXT_WEIGHT = 64, 0.5
 PER_ROUND, BATCH = 64, 4096
+#: Below this squared sine a row equals a chosen one but for rounding.
+SAME = 1e-5
 _NOMINEE = "node int, id long, residual double, vec binary"
 
 
@@ -111,7 +113,8 @@ def _round(rows: DataFrame, held, most: int, dim: int) -> list:
                 y, raw = x[at], x[at]
                 if len(own) and len(at):
                     cos = (y / np.linalg.norm(y, axis=1, keepdims=True)) @ own.T
-                    y = y * np.sqrt(np.maximum(0, 1 - np.square(cos.max(axis=1))))[:, None]
+                    new = 1 - np.square(cos.max(axis=1))
+                    y = y * np.sqrt(np.where(new < SAME, 0, new))[:, None]
                 both = np.concatenate([y, raw], axis=1)
                 best = (ids[at], both) if best is None else (np.concatenate([best[0], ids[at]]), np.concatenate([best[1], both]))
                 keep, _ = pivots(best[1][:, :dim], most)
