@@ -104,7 +104,7 @@ def exif(b: bytes | None) -> dict | None:
         degrees = lambda v, ref, minus: (v[0] + v[1] / 60 + v[2] / 3600) * (-1 if ref == minus else 1)
         out["gps"] = {"latitude": degrees(gps[2], gps.get(1), "S"), "longitude": degrees(gps[4], gps.get(3), "W")} if 2 in gps and 4 in gps else None
         return out
-    except (TypeError, ValueError, KeyError, IndexError, struct.error):
+    except (AttributeError, TypeError, ValueError, KeyError, IndexError, struct.error):
         return None
 
 
