@@ -24,7 +24,8 @@ def scan(spark: SparkSession, folder: str, recursive: bool = False, extensions:
     if extensions:
         df = df.filter(extension(F.col("path")).isin(*[e.lower().lstrip(".") for e in extensions]))
     if depth is not None:
-        below = F.size(F.split(F.col("path"), "/")) - F.lit(len(os.path.abspath(folder).split("/"))) - F.lit(2) - 1
+        bare = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+        below = F.size(F.split(bare, "/")) - F.lit(len(os.path.abspath(folder).split("/")) + 1)
         df = df.filter(below <= depth)
     return df
 
