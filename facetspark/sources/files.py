@@ -19,7 +19,10 @@ _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = False, extensions: list[str] | None = None, depth: int | None = None) -> DataFrame:
-    """(path, modificationTime, length, content) of a folder's files of the given endings; content is read only if used."""
+    """(path, modificationTime, length, content) of a folder's files of the given endings; content is read only if used.
+
+    Spark doesn't list files of no bytes.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     if extensions:
         df = df.filter(extension(F.col("path")).isin(*[e.lower().lstrip(".") for e in extensions]))

@@ -102,7 +102,7 @@ def test_image_files(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "a.PNG").write_bytes(png(30, 20))
     (tmp_path / "deep/b.jpg").write_bytes(jpeg)
-    (tmp_path / "c.txt").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(b"abc")
     df = files.scan(spark, str(tmp_path), True, ["png", "jpg"]).select("length", files.header_of(F.col("content")).alias("h"), files.exif_of(F.col("content")).alias("e"))
     assert {(r.h.format, r.h.width) for r in df.collect()} == {("png", 30), ("jpeg", 200)}
     assert files.scan(spark, str(tmp_path), True, ["png", "jpg"], depth=0).count() == 1 and files.within_size(files.scan(spark, str(tmp_path)), 10).count() == 1
