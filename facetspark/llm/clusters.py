@@ -7,13 +7,15 @@ its nearest one and merges what is close there, so parts of a cluster meet while
 agglomeration joins the remaining leaves of two or more points, cheapest merge first. One full pass then assigns
 every point to its nearest centroid.
 
-``linked`` follows with the exact check: within an assigned group two points belong together only if a chain of
-pairs of the given cosine joins them.
-
-Defined cases: unusable vectors (see vectors.usable) take no part; equal vectors fall into one leaf; a point far
-from every centroid is in no group; a group larger than GROUP points is checked in hashed parts that share its most
-typical members, through which the parts are joined again; an empty table gives no rows; other columns are not
-read.
+``linked`` follows with the exact check: two points belong together if and only if a chain of pairs of the given
+cosine joins them, whatever their groups. A group is a ball about the mean of its members; those far from it are moved
+to the rest, which has no ball. Links inside a group or the rest are found there. A point is sent to every other ball
+that the triangle inequality lets it reach (of two balls, to one), a point of the rest to all of those. The labels so
+joined are then made one by star rounds.
+
+Defined cases: unusable vectors (see vectors.usable) take no part; equal vectors fall into one leaf; a group larger
+than GROUP points is checked in hashed parts, every part against every other; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ from .vectors import DIM, MOST_LEAVES, least_hashed, matrix, to_binary, usable
 #: Least cosine to a leaf's centroid, between centroids that Ward joins, and to a centroid for assignment.
 ABSORB, JOIN, ASSIGN = 0.7, 0.6, 0.5
 ROUNDS, CELL, MOST_VANTAGE = 3, 2500, 4096
-#: Leaves agglomerated in one task, centroids broadcast at once, points checked in one task, shared typical members.
-WARD, CENTROIDS, GROUP, TYPICAL = 20_000, 20_000, 32_768, 64
+#: Leaves agglomerated in one task, centroids broadcast at once, points checked in one task, points asking there.
+WARD, CENTROIDS, GROUP, ASKED = 20_000, 20_000, 32_768, 65_536
+#: Least cosine of a ball's points to its centre, and the number of the group that has no ball.
+CORE, REST = 0.86, -(2**63)
 
 
 class Leaves:
@@ -247,53 +251,171 @@ def components(x: np.ndarray, least: float) -> np.ndarray:
 
 
 def linked(assigned: DataFrame, least: float) -> DataFrame:
-    """(space, lead_id, id, cos): the exact components of every group, lead_id being a component's least id."""
-    sizes = assigned.groupBy("space", "cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
-    large = small(cut(sizes.select("space", "cluster", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))))
-    rows = assigned.join(large, ["space", "cluster"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    single = rows.filter("parts = 1").withColumn("part", F.lit(0)).withColumn("shared", F.lit(False))
-    split = rows.filter("parts > 1")
-    w = Window.partitionBy("space", "cluster").orderBy(F.desc("cos"), "id")
-    typical = split.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= TYPICAL).drop("r")
-    typical = typical.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("shared", F.lit(True))
-    rest = split.join(typical.select("space", "id").distinct(), ["space", "id"], "left_anti").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("shared", F.lit(False))
-    cols = ["space", "cluster", "part", "id", "vec", "cos", "shared"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cos", ascending=False, kind="stable")
-        comp = components(matrix(pdf["vec"]), least)
-        lead = pdf.groupby(comp)["id"].transform("min")
-        return pdf.assign(lead_id=lead)[["space", "cluster", "part", "id", "cos", "shared", "lead_id"]]
-
-    schema = "space string, cluster long, part int, id long, cos double, shared boolean, lead_id long"
-    if large.isEmpty():
-        return single.select(*cols).groupBy("space", "cluster", "part").applyInPandas(one, schema).select("space", "lead_id", "id", "cos")
-    parts = cut(single.select(*cols).unionByName(typical.select(*cols)).unionByName(rest.select(*cols)).groupBy("space", "cluster", "part").applyInPandas(one, schema))
+    """(space, lead_id, id, cos): the exact components of all points, lead_id being a component's least id.
+
+    cos is to the mean of the point's own group, null for a point of the rest.
+    """
+    assigned = cut(assigned)
+    balls = cut(_means(assigned))
+    rows = _placed(assigned, balls)
+    cells = rows.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("reach"))
+    balls = cut(cells.join(balls.withColumnRenamed("cluster", "cell"), ["space", "cell"], "left"))
+    asked = _routes(rows, balls, least, False).groupBy("space", "cell").agg(F.count(F.lit(1)).alias("asked"))
+    plan = balls.join(asked, ["space", "cell"], "left").select("space", "cell", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.col("asked") / ASKED)).cast("int").alias("chunks"))
+    plan = small(cut(plan))
+    part = F.pmod(F.xxhash64("id"), "parts").cast("int")
+    rows = rows.join(plan, ["space", "cell"]).withColumn("part", part)
+    to = lambda first, last: F.explode(F.sequence(first, last))
+    cols = ["space", "cell", "i", "j", "chunk", "ask", "id", "vec", "cos"]
+    held = rows.withColumn("i", F.col("part")).withColumn("j", to(F.col("part"), F.col("parts") - 1)).withColumn("chunk", to(F.lit(0), F.when(F.col("i") == F.col("j"), F.col("chunks") - 1).otherwise(0)))
+    across = rows.filter("part > 0").withColumn("j", F.col("part")).withColumn("i", to(F.lit(0), F.col("part") - 1)).withColumn("chunk", F.lit(0))
+    routed = _routes(rows, balls, least, True).join(plan, ["space", "cell"]).withColumn("i", to(F.lit(0), F.col("parts") - 1)).withColumn("j", F.col("i")).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    tasks = held.withColumn("ask", F.lit(False)).select(*cols).unionByName(across.unionByName(routed, True).withColumn("ask", F.lit(True)).select(*cols))
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf["ask"].to_numpy()
+        x, ids, cos = matrix(pdf["vec"][~ask]), pdf["id"].to_numpy()[~ask], pdf["cos"].to_numpy(np.float64)[~ask]
+        comp = _loose(x, least) if key[1] == REST else components(x, least)
+        order = np.argsort(comp, kind="stable")
+        starts = np.flatnonzero(np.diff(comp[order], prepend=-1))
+        lead = np.minimum.reduceat(ids[order], starts) if len(ids) else ids
+        out = []
+        if key[2] == key[3] and key[4] == 0:
+            out.append(pd.DataFrame({"id": ids, "lead_id": lead[comp], "own": True, "cos": np.where(np.isnan(cos), None, cos)}))
+        q, qid = matrix(pdf["vec"][ask]), pdf["id"].to_numpy()[ask]
+        x = x[order]
+        for a in range(0, len(q) if len(x) else 0, 512):
+            hit = q[a : a + 512] @ x.T >= least
+            some = np.flatnonzero(hit.any(axis=1))
+            if len(some):
+                r, c = np.nonzero(np.logical_or.reduceat(hit[some], starts, axis=1))
+                out.append(pd.DataFrame({"id": qid[a + some[r]], "lead_id": lead[c], "own": False, "cos": None}))
+        out = pd.concat(out) if out else pd.DataFrame({"id": [], "lead_id": [], "own": [], "cos": []})
+        return out.assign(space=key[0])[["space", "id", "lead_id", "own", "cos"]]
+
+    found = cut(tasks.groupBy("space", "cell", "i", "j", "chunk").applyInPandas(one, "space string, id long, lead_id long, own boolean, cos double"))
+    own = found.filter("own")
+    label = lambda name, to: own.select("space", F.col("id").alias(name), F.col("lead_id").alias(to))
+    links = found.filter("not own").select("space", "id", "lead_id").join(label("id", "u"), ["space", "id"]).join(label("lead_id", "v"), ["space", "lead_id"])
+    whole = stars(links.select("space", "u", "v")).select("space", F.col("u").alias("lead_id"), F.col("v").alias("whole"))
+    return own.join(small(whole), ["space", "lead_id"], "left").select("space", F.coalesce("whole", "lead_id").alias("lead_id"), "id", "cos")
+
+
+def _loose(x: np.ndarray, least: float) -> np.ndarray:
+    """As ``components``, for rows most of which have no link: those are told apart by whole products first."""
+    lone = np.zeros(len(x), bool)
+    for a in range(0, len(x), 512):
+        hit = x[a : a + 512] @ x.T >= least
+        at = np.arange(len(hit))
+        hit[at, a + at] = False
+        lone[a : a + 512] = ~hit.any(axis=1)
+    part = np.empty(len(x), np.int64)
+    part[~lone] = components(x[~lone], least)
+    part[lone] = part[~lone].max(initial=-1) + 1 + np.arange(lone.sum())
+    return part
+
+
+def _means(assigned: DataFrame) -> DataFrame:
+    """(space, cluster, sum): the vector sum of each group's members."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, group = np.asarray(b.column(0).to_pylist()), b.column(1).to_numpy(zero_copy_only=False)
+            x = matrix(b.column(2).to_pylist())
+            for s in np.unique(names):
+                rows = np.flatnonzero(names == s)
+                rows = rows[np.argsort(group[rows], kind="stable")]
+                starts = np.flatnonzero(np.r_[True, np.diff(group[rows]) != 0])
+                yield pa.record_batch([pa.array([str(s)] * len(starts)), pa.array(group[rows[starts]]), to_binary(np.add.reduceat(x[rows], starts))], names=["space", "cluster", "sum"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"space": pdf["space"].iloc[:1], "cluster": pdf["cluster"].iloc[:1], "sum": [matrix(pdf["sum"]).sum(axis=0).tobytes()]})
+
+    schema = "space string, cluster long, sum binary"
+    return assigned.filter("cluster is not null").select("space", "cluster", "vec").mapInArrow(each, schema).groupBy("space", "cluster").applyInPandas(total, schema)
+
+
+def _in_blocks(balls: DataFrame, *cols: str) -> Iterator[dict]:
+    """{space: (units, the other columns)} of the balls, CENTROIDS at once."""
+    blocks = max(1, -(-balls.count() // CENTROIDS))
+    for k in range(blocks):
+        rows = balls.filter(F.pmod(F.xxhash64("space", cols[0]), F.lit(blocks)) == k).select("space", "sum", *cols).collect()
+        out = {}
+        for s in {r.space for r in rows}:
+            v = matrix([bytes(r["sum"]) for r in rows if r.space == s])
+            out[s] = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), *[np.asarray([r[c] for r in rows if r.space == s]) for c in cols])
+        yield out
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        up: dict = {}
 
-        def root(v):
-            while up.setdefault(v, v) != v:
-                v = up[v]
-            return v
+def _placed(assigned: DataFrame, balls: DataFrame) -> DataFrame:
+    """(space, id, vec, cell, cos): cell is the group if its mean is at cosine CORE or more, else REST."""
+    out = assigned.filter("cluster is null").select("space", "id", "vec", F.lit(REST).alias("cell"), F.lit(None).cast("double").alias("cos"))
+    for block in _in_blocks(balls, "cluster"):
+        held = assigned.sparkSession.sparkContext.broadcast(block)
+
+        def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names, group = np.asarray(b.column(0).to_pylist()), b.column(3).to_numpy(zero_copy_only=False)
+                x = matrix(b.column(2).to_pylist())
+                for s, (v, cluster) in held.value.items():
+                    order = np.argsort(cluster)
+                    rows = np.flatnonzero(names == s)
+                    at = np.minimum(np.searchsorted(cluster[order], group[rows]), len(order) - 1)
+                    here = cluster[order[at]] == group[rows]
+                    rows, at = rows[here], order[at[here]]
+                    cos = np.einsum("ij,ij->i", x[rows], v[at]).astype(np.float64)
+                    core = cos >= CORE
+                    yield pa.RecordBatch.from_arrays([*b.select([0, 1, 2]).take(pa.array(rows)).columns, pa.array(np.where(core, group[rows], REST)), pa.array(cos, mask=~core)], names=["space", "id", "vec", "cell", "cos"])
 
-        for part, member, lead in zip(pdf["part"], pdf["id"], pdf["lead_id"]):
-            up[root((part, lead))] = root(("shared", member))
-        pairs = {(p, v) for p, v in zip(pdf["part"], pdf["lead_id"])}
-        least_of: dict = {}
-        for p, v in pairs:
-            r = root((p, v))
-            least_of[r] = min(v, least_of.get(r, v))
-        return pd.DataFrame([[pdf["space"].iloc[0], pdf["cluster"].iloc[0], p, v, least_of[root((p, v))]] for p, v in pairs], columns=["space", "cluster", "part", "lead_id", "whole"])
+        out = out.unionByName(assigned.filter("cluster is not null").select("space", "id", "vec", "cluster").mapInArrow(each, "space string, id long, vec binary, cell long, cos double"))
+    return out
 
-    whole = parts.filter("shared").groupBy("space", "cluster").applyInPandas(joined, "space string, cluster long, part int, lead_id long, whole long")
-    out = parts.join(whole, ["space", "cluster", "part", "lead_id"], "left").withColumn("lead_id", F.coalesce("whole", "lead_id"))
-    return out.groupBy("space", "lead_id", "id").agg(F.max("cos").alias("cos"))
 
+def _routes(rows: DataFrame, balls: DataFrame, least: float, vectors: bool) -> DataFrame:
+    """(space, cell, id, vec): the other balls in which a point may have a link; of two balls the one of greater number is asked."""
+    out, schema = None, "space string, cell long, id long" + ", vec binary" * vectors
+    for block in _in_blocks(balls.filter(F.col("cell") != REST), "cell", "reach"):
+        held = rows.sparkSession.sparkContext.broadcast(block)
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = usable(read(spark, sf_dir, "vector_point"), SPACES)
+        def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names, own = np.asarray(b.column(0).to_pylist()), b.column(3).to_numpy(zero_copy_only=False)
+                x = matrix(b.column(2).to_pylist())
+                for s, (v, cell, reach) in held.value.items():
+                    # 1e-4: rounding of the cosines
+                    bound = np.cos(np.minimum(np.pi, np.arccos(np.clip(reach, -1, 1)) + np.arccos(least))) - 1e-4
+                    mine = np.flatnonzero(names == s)
+                    for a in range(0, len(mine), 1024):
+                        at = mine[a : a + 1024]
+                        r, c = np.nonzero((x[at] @ v.T >= bound) & (cell > own[at, None]))
+                        for k in range(0, len(r), 8192):
+                            take = pa.array(at[r[k : k + 8192]])
+                            cols = [b.column(0).take(take), pa.array(cell[c[k : k + 8192]]), b.column(1).take(take)]
+                            yield pa.RecordBatch.from_arrays(cols + [b.column(2).take(take)] * vectors, names=["space", "cell", "id", "vec"][: len(cols) + vectors])
+
+        part = rows.select("space", "id", "vec", "cell").mapInArrow(each, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(space, u, v): for every node u but the least of its component, that least node v; by large and small stars in turn."""
+    edges = cut(edges.filter("u <> v").select("space", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
+    while True:
+        both = edges.unionByName(edges.select("space", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("space", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, ["space", "u"]).filter("v > u").select("space", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("space", "u").agg(F.min("v").alias("m"))
+        near = large.join(least, ["space", "u"]).filter("v <> m").select("space", F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(near.unionByName(least.select("space", "u", F.col("m").alias("v"))).distinct())
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("space", "u", "v"))).first()
+        if now == state:
+            return edges
+        state = now
+
+
+def _clusters(points: DataFrame) -> DataFrame:
     found = cut(linked(cluster_points(points), 0.65))
     sizes = found.groupBy("space", "lead_id").agg(F.count(F.lit(1)).alias("size")).filter("size >= 8")
     return found.join(sizes, ["space", "lead_id"])
@@ -301,13 +423,35 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(space, lead_id, id) of every member of a cluster of eight or more."""
-    return _clusters(spark, sf_dir).select("space", "lead_id", "id")
+    return _clusters(usable(read(spark, sf_dir, "vector_point"), SPACES)).select("space", "lead_id", "id")
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cluster of eight or more with its size and the five members nearest its centroid."""
+    return typical(usable(read(spark, sf_dir, "vector_point"), SPACES))
+
+
+def typical(points: DataFrame) -> DataFrame:
+    """(space, lead_id, size, typical_ids) of the clusters of eight or more; the centroid is the mean of all members."""
+    members = cut(points.join(_clusters(points), ["space", "id"]).select("space", "id", "vec", F.col("lead_id").alias("cluster"), "size"))
+    near, balls = None, cut(_means(members))
+    for block in _in_blocks(balls, "cluster"):
+        held = points.sparkSession.sparkContext.broadcast(block)
+
+        def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = {(s, c): v for s, (vs, cs) in held.value.items() for v, c in zip(vs, cs)}
+                x = matrix(b.column(2).to_pylist())
+                keys = list(zip(b.column(0).to_pylist(), b.column(3).to_pylist()))
+                rows = [i for i, k in enumerate(keys) if k in at]
+                cos = [float(x[i] @ at[keys[i]]) for i in rows]
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(i).take(take) for i in (0, 1, 3, 4)] + [pa.array(cos, pa.float64())], names=["space", "id", "lead_id", "size", "cos"])
+
+        part = members.mapInArrow(each, "space string, id long, lead_id long, size long, cos double")
+        near = part if near is None else near.unionByName(part)
     w = Window.partitionBy("space", "lead_id").orderBy(F.desc("cos"), "id")
-    top = _clusters(spark, sf_dir).withColumn("r", F.row_number().over(w)).filter("r <= 5")
+    top = near.withColumn("r", F.row_number().over(w)).filter("r <= 5")
     return top.groupBy("space", "lead_id", "size").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("t")).select("space", "lead_id", "size", F.col("t.id").alias("typical_ids"))
 
 

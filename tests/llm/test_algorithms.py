@@ -173,3 +173,34 @@ def test_quantiles(spark):
         v = sorted(x for q, x in rows if q == k)
         assert med[k] == pytest.approx((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2)
     assert quantiles.summarise(df.limit(0), {"k": F.col("k")}, F.col("x")).count() == 0
+
+
+def _whole(x, least=0.65):
+    """Components of at least eight rows, by brute force; ids count from 1."""
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    part = clusters.components(u, least)
+    return sorted(sorted((np.flatnonzero(part == p) + 1).tolist()) for p in np.unique(part) if (part == p).sum() >= 8)
+
+
+def _linked(spark, x):
+    found = {}
+    for r in clusters.linked(clusters.cluster_points(usable(_table(spark, x).repartition(4), {"s": "v"})), 0.65).collect():
+        found.setdefault(r.lead_id, []).append(r.id)
+    assert all(min(m) == lead for lead, m in found.items())
+    return sorted(sorted(m) for m in found.values() if len(m) >= 8)
+
+
+def _chain(clumps=9, each=6, step=0.8, seed=4):
+    """Clumps along an arc, neighbours linked, ends at right angles or more: no one centroid is near all."""
+    r = np.random.default_rng(seed)
+    a = np.repeat(np.arange(clumps) * step, each)
+    x = np.zeros((len(a), 128))
+    x[:, 0], x[:, 1] = np.cos(a), np.sin(a)
+    return x + 0.01 * r.normal(size=x.shape)
+
+
+def test_chain_across_groups_is_one_cluster(spark):
+    x = np.concatenate([_chain(clumps=7), _clustered(5, groups=4, each=12, alone=30)])
+    want = _whole(x)
+    assert max(map(len, want)) == 42
+    assert _linked(spark, x) == want
