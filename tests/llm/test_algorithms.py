@@ -204,3 +204,15 @@ def test_chain_across_groups_is_one_cluster(spark):
     want = _whole(x)
     assert max(map(len, want)) == 42
     assert _linked(spark, x) == want
+
+
+def test_group_split_in_parts_keeps_all_links(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "GROUP", 40)
+    x = np.stack([np.eye(128)[k : k + 3].sum(axis=0) for k in range(126)])  # each linked only to the next
+    want = _whole(x)
+    assert list(map(len, want)) == [126]
+    assigned = usable(_table(spark, x), {"s": "v"}).selectExpr("space", "id", "vec", "1L AS cluster", "1.0D / id AS cos")
+    got = clusters.linked(assigned, 0.65).collect()
+    assert sorted(r.id for r in got) == want[0] and {r.lead_id for r in got} == {1}
+    x = _clustered(6, groups=2, each=150, alone=10)
+    assert _linked(spark, x) == _whole(x)
