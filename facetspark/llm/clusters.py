@@ -5,11 +5,11 @@ levels: batches of its points go to the leaf of nearest centroid if that is clos
 The partitions' leaves are reduced in rounds: each round draws vantage points from the leaves, sends every leaf to
 its nearest one and merges what is close there, so parts of a cluster meet while no task receives all leaves. Ward
 agglomeration joins the remaining leaves of two or more points, cheapest merge first. One full pass then assigns
-every point to its nearest centroid.
+every point to its nearest centroid, if that is close enough.
 
 ``linked`` follows with the exact check: two points belong together if and only if a chain of pairs of the given
-cosine joins them, whatever their groups. A group is a ball about the mean of its members; those far from it are moved
-to the rest, which has no ball. Links inside a group or the rest are found there. A point is sent to every other ball
+cosine joins them, whatever their groups. A group is a ball about the mean of its members; those far from it and
+points of no group are the rest, which has no ball. Links inside a group or the rest are found there. A point is sent to every other ball
 that the triangle inequality lets it reach (of two balls, to one), a point of the rest to all of those. The labels so
 joined are then made one by star rounds.
 
@@ -192,11 +192,12 @@ def ward(leaves: DataFrame) -> DataFrame:
 
 
 def assign(points: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(space, id, vec, cluster, cos): every point close enough to a centroid, with the nearest one.
+    """(space, id, vec, cluster, cos): every point with the nearest centroid; cluster is null if none is close enough.
 
     Centroids are broadcast in blocks of CENTROIDS; with several blocks a point's best of all is kept.
     """
     clusters = cut(clusters)
+    none = np.zeros((1, DIM), np.float32), np.zeros(1, np.int64)
     out, blocks = None, max(1, -(-clusters.count() // CENTROIDS))
     for k in range(blocks):
         rows = (clusters if blocks == 1 else clusters.filter(F.pmod(F.xxhash64("lead"), F.lit(blocks)) == k)).select("space", "lead", "sum").collect()
@@ -209,27 +210,26 @@ def assign(points: DataFrame, clusters: DataFrame) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 names, x = np.asarray(b.column(0).to_pylist()), matrix(b.column(2).to_pylist())
-                for s, (v, lead) in held.value.items():
+                for s in np.unique(names):
+                    v, lead = held.value.get(str(s), none)
                     rows = np.flatnonzero(names == s)
                     for a in range(0, len(rows), 2048):
                         at = rows[a : a + 2048]
                         cos = x[at] @ v.T
                         best = cos.argmax(axis=1)
-                        top = cos[np.arange(len(at)), best]
-                        near = top >= ASSIGN
-                        if near.any():
-                            yield pa.RecordBatch.from_arrays([*b.take(pa.array(at[near])).columns, pa.array(lead[best[near]]), pa.array(top[near].astype(np.float64))], names=["space", "id", "vec", "cluster", "cos"])
+                        top = cos[np.arange(len(at)), best].astype(np.float64)
+                        yield pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, pa.array(lead[best], mask=top < ASSIGN), pa.array(top)], names=["space", "id", "vec", "cluster", "cos"])
 
         part = points.select("space", "id", "vec").mapInArrow(each, "space string, id long, vec binary, cluster long, cos double")
         out = part if out is None else out.unionByName(part)
     if blocks > 1:
-        best = out.groupBy("space", "id").agg(F.max(F.struct("cos", "cluster")).alias("b")).select("space", "id", F.col("b.cluster").alias("cluster"))
-        out = out.join(best, ["space", "id", "cluster"], "left_semi")
+        best = out.groupBy("space", "id").agg(F.max(F.struct("cos", "cluster")).alias("b")).select("space", "id", F.col("b.cluster").alias("cluster"), F.col("b.cos").alias("cos"))
+        out = points.select("space", "id", "vec").join(best, ["space", "id"])
     return out.select("space", "id", "vec", "cluster", "cos")
 
 
 def cluster_points(points: DataFrame) -> DataFrame:
-    """Every assigned point with its cluster (the least id among its cluster's summarised points) and cosine to the centroid."""
+    """Every point with its cluster (the least id among its cluster's summarised points; null if none is near) and cosine to the centroid."""
     return assign(points, ward(reduce_leaves(grow(points))))
 
 

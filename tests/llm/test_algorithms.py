@@ -216,3 +216,14 @@ def test_group_split_in_parts_keeps_all_links(spark, monkeypatch):
     assert sorted(r.id for r in got) == want[0] and {r.lead_id for r in got} == {1}
     x = _clustered(6, groups=2, each=150, alone=10)
     assert _linked(spark, x) == _whole(x)
+
+
+def test_loose_cluster_without_leaves_is_found(spark):
+    e = np.eye(128)
+    loose = np.sqrt(0.67) * e[0] + np.sqrt(0.33) * e[1:10]  # pairs of cosine 0.67: linked, but never one leaf
+    for x in (loose, np.concatenate([loose, _clustered(7, groups=2, each=12, alone=20)])):
+        want = _whole(x)
+        assert list(range(1, 10)) in want
+        assert _linked(spark, x) == want
+    found = clusters.linked(clusters.cluster_points(usable(_table(spark, x), {"s": "v"})), 0.65)
+    assert found.count() == len(x)
