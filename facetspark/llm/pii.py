@@ -48,6 +48,8 @@ CUE = re.compile(
 )
 TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+|\d+|[^\w\s]|_|\n")
 BEFORE, AFTER, LINE = 120, 160, 300
+#: Tokens, padding included, that are decoded together; a longer stretch is decoded alone.
+PADDED = 1 << 18
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
@@ -58,7 +60,8 @@ def stretches(text: str) -> list[tuple[int, int]]:
         s, e = m.span()
         a = text.rfind("\n", max(0, s - LINE), s) + 1 or (0 if s <= LINE else max(0, s - BEFORE))
         b = text.find("\n", e, e + LINE)
-        b = b if b >= 0 else min(n, e + AFTER)
+        whole = b >= 0
+        b = b if whole else min(n, e + AFTER)
         if ADDRESS.search(text, max(a, s - 40), min(b, e + 40)):
             up = text.rfind("\n", max(0, a - 60), a - 1) if a and text[a - 1] == "\n" else -1
             a = up + 1 if up >= 0 else a
@@ -69,7 +72,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-        at = max(e, b) if b > e else e
+        at = max(e, b) if whole else e  # on a long line a cue before the cut moves it on
     return [(a, b) for a, b in out]
 
 
@@ -158,8 +161,11 @@ class Field:
             score += self.weights[x[:, k]]
         start, out = np.cumsum(length) - length, [np.empty(0, np.int64)] * len(tokens)
         order = np.argsort(length, kind="stable")
-        for a in range(0, len(order), 256):
+        a = 0
+        while a < len(order):
             rows = order[a : a + 256]
+            rows = rows[: max(1, int((length[rows] * np.arange(1, len(rows) + 1) <= PADDED).sum()))]
+            a += len(rows)
             t_max = int(length[rows].max())
             if not t_max:
                 continue

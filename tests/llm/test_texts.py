@@ -68,6 +68,17 @@ def test_personal_data_held_out():
     assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
 
 
+@pytest.mark.parametrize("said, kind", [("Ivo Wendholt", "person"), ("tamsin.brenquist@tidelab.test", "email"), ("+44 7700 900912", "phone")])
+def test_personal_data_where_a_long_line_was_cut(said, kind):
+    texts = ["Contact: Anna Kowal, " + "x " * 40 + "y" * k + f" reach {said} or " + "z " * 200 for k in range(90)]
+    for t in texts:
+        at = t.index(said)
+        assert any(a <= at and at + len(said) <= b for a, b in pii.stretches(t))
+    found = pii.mentions(texts, pii.field())
+    if kind != "person":
+        assert all((kind, t.index(said), t.index(said) + len(said)) in f for t, f in zip(texts, found))
+
+
 def test_personal_data_table(spark):
     text = "Author: Tamsin Brenquist <tamsin.brenquist@tidelab.test>\n" + "x = 1\n" * 20000 + "Interview notes: Ivo Wendholt, born abroad, ID 956-41-8228, lives at 169 Old Kiln Rd., Ostwick QX19 6ZZ, reachable on +44 7700 900912.\n"
     docs = _docs(spark, [(1, text), (2, None), (3, ""), (4, "%timeit user@host_matrix  # matrix product"), (5, text)]).withColumn("__id", F.lit(0))
