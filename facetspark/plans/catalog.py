@@ -308,12 +308,22 @@ sc AS (SELECT question_id, id, 0.5 * ({_SIM.format(a="qvec", b="tv")}) + 0.5 * (
 )
 
 
+class _Whole:
+    """A table reader that asks for a beam of all usable points instead of the 200 that the SQL is limited to."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return read(self.spark, self.sf_dir, name)
+
+
 def _beam(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(beam vectors, probabilities, questions)."""
-    members = _points(t).orderBy("id").limit(200)
+    members = _points(t) if isinstance(t, _Whole) else _points(t).orderBy("id").limit(200)
     weights = members.select("id", (F.col("id") % 7 + 1).cast("double").alias("prob"))
     spark = members.sparkSession
-    q = spark.createDataFrame([(i + 1, [float(x) for x in r.text_vec]) for i, r in enumerate(members.limit(3).collect())], "question_id int, vec array<double>")
+    q = spark.createDataFrame([(i + 1, [float(x) for x in r.text_vec]) for i, r in enumerate(members.orderBy("id").limit(3).collect())], "question_id int, vec array<double>")
     return members, bayes.normalised(weights), q
 
 
@@ -411,6 +421,11 @@ def search_session_replay(t):
     return bayes.pruned(probs, 5).select("id", _r("prob", 9).alias("prob"))
 
 
+# the same over all usable points, without SQL; only beam_prune and the final five of the session are limited
+for _f in (blended_score, bayes_update, bayes_normalise, posterior_entropy, temper_posterior, expected_info_gain, best_question, ig_penalty, candidate_diversity, beam_prune, beam_stats, search_session_replay):
+    _QUERIES[f"{_f.__name__}_whole"] = lambda spark, sf_dir, f=_f: f(_Whole(spark, sf_dir))
+
+
 # clusters
 
 CENTRES = [[1024.0, 768.0], [3000.0, 2000.0], [4000.0, 5000.0]]

@@ -1,6 +1,7 @@
 """Operators of the core on small fixtures, with nulls, ties, repeats and empty tables."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,16 @@ def test_providers(spark):
 
 def test_catalog_is_consistent():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) > 60
+
+
+def test_bayes_over_all_points(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 1) for _ in range(128)], [r.gauss(0, 1) for _ in range(128)]) for i in range(1, 251)] + [(251, None, [1.0] * 128)]
+    spark.createDataFrame(rows, "id long, text_vec array<float>, visual_vec array<float>").write.parquet(f"{tmp_path}/vector_point.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    weight = {i: i % 7 + 1 for i in range(1, 251)}
+    got = {x.id: x.prob for x in run("bayes_normalise_whole")}
+    assert set(got) == set(weight) and all(abs(got[i] - w / sum(weight.values())) < 1e-8 for i, w in weight.items())
+    assert len(run("blended_score_whole")) == 750 and run("beam_stats_whole")[0].size == 250
+    assert len(run("beam_prune_whole")) == 50 and len(run("search_session_replay_whole")) == 5
+    assert len(run("blended_score")) == 600  # as its SQL
