@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def round_half_up(x: Column, digits: int = 2) -> Column:
-    """floor(x * 10^digits + 0.5) / 10^digits on doubles; halves go up, also below zero."""
+    """floor(x * 10^digits + 0.5) / 10^digits on doubles; halves go up, also below zero. NaN says nothing: null."""
     scale = F.lit(float(10**digits))
-    return F.when(F.isnan(x), x).otherwise(F.floor(x * scale + F.lit(0.5)).cast("double") / scale)
+    return F.when(~F.isnan(x), F.floor(x * scale + F.lit(0.5)).cast("double") / scale)
 
 
 def parse_float(c: Column) -> Column:

@@ -24,7 +24,7 @@ def decode_url(c: Column) -> Column:
 
 def file_path(url: Column) -> Column:
     """Path of a file:// URL, decoded; null for another kind of URL."""
-    return F.when(url.startswith("file://"), decode_url(F.substring(url, 8, 1 << 20)))
+    return F.when(url.startswith("file://"), decode_url(F.substring(url, F.lit(8), F.length(url))))
 
 
 def file_url(path: Column) -> Column:

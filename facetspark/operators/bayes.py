@@ -5,6 +5,10 @@ Beams are DataFrames (id, prob); several searches at once are told apart by part
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +28,63 @@ def scores(vectors: DataFrame, questions: DataFrame, alpha: float = ALPHA) -> Da
 
 def top_by_cosine(vectors: DataFrame, column: str, query: list[float], k: int) -> DataFrame:
     """(id, score): the k vectors most like the query, the smaller id on a tie. Exact."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.filter(F.size(column) == len(query)).select("id", sim01(F.col(column), q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    one = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, vec array<double>")
+    return most_similar(vectors, column, one, k).select("id", "score").orderBy(F.desc("score"), "id")
+
+
+def most_similar(vectors: DataFrame, column: str, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, id, score): for each of the queries (query_id, vec) the k vectors of ``vectors`` (id, ``column``) most like it.
+
+    Exact: every query meets every vector of its length, in matrix products, a block of queries at a time; a task sends
+    on at most k rows a query. Scores are rounded to 12 digits, the smaller id comes first on a tie. Null and all-zero
+    vectors score 0, those of another length take no part; an empty side gives no rows.
+    """
+    spark, out = vectors.sparkSession, None
+    blocks = max(1, -(-queries.count() // block))
+    for n in range(blocks):
+        rows = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)).select("query_id", "vec").collect()
+        rows = [r for r in rows if r.vec is not None and None not in r.vec]
+        for dim in sorted({len(r.vec) for r in rows}):
+            some = [r for r in rows if len(r.vec) == dim]
+            held = spark.sparkContext.broadcast((np.asarray([r.query_id for r in some], np.int64), _unit(np.asarray([r.vec for r in some], np.float64))))
+            part = vectors.filter(F.size(column) == dim).select(F.col("id").cast("long"), F.col(column).cast("array<double>")).mapInArrow(_best_of(held, k, dim), "query_id long, id long, score double")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, id long, score double")
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return out.withColumn("__r", r).filter(F.col("__r") <= k).drop("__r")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _best_of(held, k: int, dim: int):
+    """A task's k best (id, score) of each query of a block."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, q = held.value
+        there = np.linalg.norm(q, axis=1) > 0
+        score, best = np.full((len(q), 0), -1.0), np.empty((len(q), 0), np.int64)
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            for a in range(0, len(x), 4096):
+                y = _unit(x[a : a + 4096])
+                got = np.round((q @ y.T + 1) / 2, 12)
+                got[:, ~y.any(axis=1)], got[~there] = 0.0, 0.0
+                score = np.concatenate([score, got], axis=1)
+                best = np.concatenate([best, np.broadcast_to(ids[a : a + 4096], got.shape)], axis=1)
+                if score.shape[1] > k:
+                    bar = np.partition(score, -k, axis=1)[:, -k]
+                    keep = [np.flatnonzero(s >= t) for s, t in zip(score, bar)]
+                    keep = [c[np.lexsort((best[i, c], -score[i, c]))[:k]] for i, c in enumerate(keep)]
+                    score, best = np.take_along_axis(score, np.stack(keep), 1), np.take_along_axis(best, np.stack(keep), 1)
+        if score.size:
+            yield pa.record_batch([pa.array(np.repeat(asked, score.shape[1])), pa.array(best.ravel()), pa.array(score.ravel())], names=["query_id", "id", "score"])
+
+    return each
 
 
 def update(probs: DataFrame, scored: DataFrame, answer: float, lam: float = LAMBDA) -> DataFrame:

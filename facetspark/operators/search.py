@@ -113,5 +113,6 @@ def run(df: DataFrame, query: str = "", filters: list[str] | None = None, limit:
 
 
 def tool_view(df: DataFrame) -> DataFrame:
-    """The few fields that a model's search tool returns."""
-    return df.select("id", "min_value", "max_value", "standard_name", "image_format", "valued_at", F.substring("description", 1, 120).alias("description"))
+    """The few fields that a model's search tool returns. NaN is no value: null."""
+    value = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return df.select("id", value("min_value"), value("max_value"), "standard_name", "image_format", "valued_at", F.substring("description", 1, 120).alias("description"))

@@ -91,6 +91,11 @@ def record_count(t):
     return t(V).agg(F.count(F.lit(1)).alias("n"))
 
 
+# the number-th free form of a name: numbers that some file bears are passed over
+_FREE = r"""stem AS (SELECT {f}name, regexp_extract(name, '^(.+?)(\.[^.]*)?$', 1) AS s, regexp_extract(name, '^(.+?)(\.[^.]*)?$', 2) AS e FROM (SELECT DISTINCT {f}name FROM born)),
+taken AS (SELECT {f}regexp_extract(s, '^(.+)_([1-9][0-9]{{0,8}})$', 1) || e AS name, TRY_CAST(regexp_extract(s, '^(.+)_([1-9][0-9]{{0,8}})$', 2) AS BIGINT) AS b FROM stem),
+gap AS (SELECT {f}name, b - row_number() OVER (PARTITION BY {f}name ORDER BY b) AS o FROM taken WHERE b IS NOT NULL)"""
+_FORM = r"regexp_extract(x.name, '^(.+?)(\.[^.]*)?$', 1) || '_' || (x.k + (SELECT count(*) FROM gap WHERE gap.name = x.name{f} AND gap.o < x.k)) || regexp_extract(x.name, '^(.+?)(\.[^.]*)?$', 2)"
 _MOVE_SQL = _FILES + r""", n AS (SELECT url, max_value, regexp_extract(url_decode(substr(url, 8)), '([^/\\]*)$', 1) AS name FROM files WHERE max_value < 20),
 have AS (SELECT name, max(max_value) AS held FROM (SELECT regexp_extract(source_path, '([^/\\]*)$', 1) AS name, CAST(id % 50 AS DOUBLE) AS max_value FROM image_import) GROUP BY name),
 j AS (SELECT n.*, held, have.name IS NOT NULL AS known, row_number() OVER (PARTITION BY n.name ORDER BY url) AS k FROM n LEFT JOIN have ON n.name = have.name) """
@@ -102,16 +107,28 @@ def move_plan_keep_max(t):
     return curation.plan_move(curation.below(t(V), 20.0), existing, "keep-max")
 
 
-@query(_MOVE_SQL + r"SELECT url, name, CASE WHEN NOT known AND k = 1 THEN name ELSE regexp_replace(name, '\.[^.]*$', '') || '_' || (CASE WHEN known THEN k ELSE k - 1 END) || regexp_extract(name, '(\.[^.]*)$', 1) END AS target, 'moved' AS action FROM j")
+@query(
+    _MOVE_SQL
+    + ", born AS (SELECT name FROM n UNION ALL SELECT name FROM have), "
+    + _FREE.format(f="")
+    + ", x AS (SELECT url, name, CASE WHEN known THEN k ELSE k - 1 END AS k FROM j) SELECT url, name, CASE WHEN k = 0 THEN name ELSE "
+    + _FORM.format(f="")
+    + " END AS target, 'moved' AS action FROM x"
+)
 def move_plan_rename(t):
     existing = t(I).select(text.basename(F.col("source_path")).alias("name"), (F.col("id") % 50).cast("double").alias("max_value"))
     plan = curation.plan_move(curation.below(t(V), 20.0), existing, "rename")
     return plan
 
 
-@query(r"""WITH n AS (SELECT id, regexp_extract(source_path, '^(.*)/[^/]*/[^/]*$', 1) AS folder, regexp_extract(source_path, '([^/\\]*)$', 1) AS name FROM image_import),
-k AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) - 1 AS k FROM n)
-SELECT id, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\.[^.]*$', '') || '_' || k || regexp_extract(name, '(\.[^.]*)$', 1) END AS unique_name FROM k""")
+@query(
+    r"""WITH born AS (SELECT id, regexp_extract(source_path, '^(.*)/[^/]*/[^/]*$', 1) AS folder, regexp_extract(source_path, '([^/\\]*)$', 1) AS name FROM image_import),
+x AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) - 1 AS k FROM born), """
+    + _FREE.format(f="folder, ")
+    + " SELECT id, CASE WHEN k = 0 THEN name ELSE "
+    + _FORM.format(f=" AND gap.folder = x.folder")
+    + " END AS unique_name FROM x"
+)
 def unique_names(t):
     named = t(I).select("id", F.regexp_extract("source_path", r"^(.*)/[^/]*/[^/]*$", 1).alias("folder"), text.basename(F.col("source_path")).alias("name"))
     return curation.unique_names(named, "folder", "name", "id").select("id", "unique_name")
@@ -172,7 +189,7 @@ def fts_bm25(t):
     return fulltext.bm25_search(t(V), "id", "description", "Light 'RAIN'").select("id", _r("bm25").alias("bm25"))
 
 
-@query(_bm25_sql("windmill", "near").replace("FROM s, a WHERE", "FROM s, a WHERE") + " ORDER BY bm25 DESC, id LIMIT 15")
+@query(_bm25_sql("windmill", "near") + " ORDER BY bm25 DESC, id LIMIT 15")
 def fts_top(t):
     hits = fulltext.bm25_search(t(V), "id", "description", "windmill near").select("id", _r("bm25").alias("bm25"))
     return hits.orderBy(F.desc("bm25"), "id").limit(15)
@@ -184,7 +201,7 @@ def fts_vocabulary(t):
     return fulltext.postings(t(V), "id", "description").groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
 
 
-@query("SELECT id, min_value, max_value, standard_name, image_format, valued_at, substr(description, 1, 120) AS description FROM valuation")
+@query("SELECT id, CASE WHEN NOT isnan(min_value) THEN min_value END AS min_value, CASE WHEN NOT isnan(max_value) THEN max_value END AS max_value, standard_name, image_format, valued_at, substr(description, 1, 120) AS description FROM valuation")
 def tool_view(t):
     return search.tool_view(t(V))
 
@@ -194,10 +211,16 @@ def by_id(t):
     return tables.by_key(t(V), "id", 5, limit=1).select("id", "url", "max_value")
 
 
-@query("SELECT id, image_hash, valued_at FROM valuation WHERE image_hash = (SELECT hash FROM image_import WHERE id = 7) ORDER BY valued_at DESC, id")
+@query("SELECT id, image_hash, valued_at FROM valuation WHERE image_hash = (SELECT image_hash FROM valuation WHERE id = (SELECT min(id) FROM valuation)) ORDER BY valued_at DESC, id")
 def by_hash(t):
-    h = t(I).filter("id = 7").select("hash").first()
-    return tables.by_key(t(V), "image_hash", h.hash if h else None, [F.desc("valued_at"), "id"]).select("id", "image_hash", "valued_at")
+    h = t(V).agg(F.min_by("image_hash", "id")).first()[0]
+    return tables.by_key(t(V), "image_hash", h, [F.desc("valued_at"), "id"]).select("id", "image_hash", "valued_at")
+
+
+@query("SELECT id, hash, status FROM image_import WHERE hash = (SELECT hash FROM image_import WHERE id = (SELECT min(id) FROM image_import)) ORDER BY id")
+def import_by_hash(t):
+    h = t(I).agg(F.min_by("hash", "id")).first()[0]
+    return tables.by_key(t(I), "hash", h).select("id", "hash", "status")
 
 
 @query("SELECT id, source_path, status FROM image_import WHERE source_path = (SELECT max(source_path) FROM image_import)")
@@ -255,10 +278,12 @@ def url_update(t):
     return tables.replaced(t(V), "url", "file:///library/inbox/latest.jpg", "file:///library/inbox/old.jpg").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT id, len(CASE WHEN id % 3 = 0 THEN visual_vec ELSE text_vec END) AS size FROM vector_point")
+@query("WITH u AS (SELECT id, CASE WHEN id % 3 = 0 THEN visual_vec ELSE text_vec END AS v FROM vector_point) SELECT id, CAST(len(v) AS BIGINT) AS size, round(CAST(v[1] AS DOUBLE), 6) AS first, round(CAST(v[len(v)] AS DOUBLE), 6) AS last FROM u")
 def vector_upsert(t):
     new = t(P).filter("id % 3 = 0").select("id", F.col("visual_vec").alias("text_vec"))
-    return tables.upsert(t(P).select("id", "text_vec"), new).select("id", F.when(F.col("text_vec").isNotNull(), F.size("text_vec")).cast("long").alias("size"))
+    v, size = F.col("text_vec"), F.when(F.col("text_vec").isNotNull(), F.size("text_vec"))
+    at = lambda i, name: _r(F.try_element_at(v, i).cast("double")).alias(name)
+    return tables.upsert(t(P).select("id", "text_vec"), new).select("id", size.cast("long").alias("size"), at(F.lit(1), "first"), at(F.nullif(size, F.lit(0)), "last"))
 
 
 @query("SELECT time_bucket(INTERVAL 10 MINUTE, CAST(imported_at AS TIMESTAMP)) AS start, status, count(*) AS n FROM image_import WHERE TRY_CAST(imported_at AS TIMESTAMP) IS NOT NULL GROUP BY 1, 2")
@@ -276,22 +301,27 @@ def _points(t) -> DataFrame:
     return t(P).filter("size(text_vec) = 128 and size(visual_vec) = 128").select("id", "text_vec", "visual_vec")
 
 
-def _first(t):
-    return _points(t).orderBy("id").limit(1).first()
+def _top(v: str) -> str:
+    sim = _SIM.format(a="a.v", b="b.v")
+    return f"""WITH p AS (SELECT id, CAST({v} AS DOUBLE[]) AS v FROM vector_point WHERE len({v}) = 128),
+s AS (SELECT a.id AS query_id, b.id AS id, round({sim}, 12) AS score FROM p a, p b WHERE a.id % 100 = 0)
+SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 20"""
 
 
-def _top(column: str, own: str) -> str:
-    return _UNIT + f"SELECT id, round({_SIM.format(a=own, b=column)}, 6) AS score FROM p, q ORDER BY {_SIM.format(a=own, b=column)} DESC, id LIMIT 20"
+def _asked(t, column: str) -> DataFrame:
+    """The 20 most similar points of every point whose id is divisible by 100, by one of the two vectors alone."""
+    queries = t(P).filter(f"id % 100 = 0 and size({column}) = 128").select(F.col("id").alias("query_id"), F.col(column).alias("vec"))
+    return bayes.most_similar(t(P).filter(f"size({column}) = 128"), column, queries, 20).select("query_id", "id", _r("score").alias("score"))
 
 
-@query(_top("qt", "tv"))
+@query(_top("text_vec"))
 def vector_topk_text(t):
-    return bayes.top_by_cosine(_points(t), "text_vec", _first(t).text_vec, 20).select("id", _r("score").alias("score"))
+    return _asked(t, "text_vec")
 
 
-@query(_top("qv", "vv"))
+@query(_top("visual_vec"))
 def vector_topk_visual(t):
-    return bayes.top_by_cosine(_points(t), "visual_vec", _first(t).visual_vec, 20).select("id", _r("score").alias("score"))
+    return _asked(t, "visual_vec")
 
 
 @query("SELECT id FROM vector_point WHERE id >= 100 ORDER BY id LIMIT 500")
@@ -299,28 +329,18 @@ def vector_scroll(t):
     return bayes.scroll(t(P), 500, 100)
 
 
-# a beam of 200 points, three questions (the text vectors of points of the beam) and their scores
+# a beam of all points with both vectors, three questions (the text vectors of points of the beam) and their scores
 _BEAM = (
     _UNIT
-    + f""", b0 AS (SELECT *, row_number() OVER (ORDER BY id) AS o FROM p ORDER BY id LIMIT 200), beam AS (SELECT id, tv, vv, o, CAST(id % 7 + 1 AS DOUBLE) / sum(CAST(id % 7 + 1 AS DOUBLE)) OVER () AS prob FROM b0),
+    + f""", b0 AS (SELECT *, row_number() OVER (ORDER BY id) AS o FROM p), beam AS (SELECT id, tv, vv, o, CAST(id % 7 + 1 AS DOUBLE) / sum(CAST(id % 7 + 1 AS DOUBLE)) OVER () AS prob FROM b0),
 qs AS (SELECT CAST(o AS INTEGER) AS question_id, tv AS qvec FROM beam WHERE o <= 3),
 sc AS (SELECT question_id, id, 0.5 * ({_SIM.format(a="qvec", b="tv")}) + 0.5 * ({_SIM.format(a="qvec", b="vv")}) AS score FROM beam, qs) """
 )
 
 
-class _Whole:
-    """A table reader that asks for a beam of all usable points instead of the 200 that the SQL is limited to."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __call__(self, name: str) -> DataFrame:
-        return read(self.spark, self.sf_dir, name)
-
-
 def _beam(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(beam vectors, probabilities, questions)."""
-    members = _points(t) if isinstance(t, _Whole) else _points(t).orderBy("id").limit(200)
+    members = _points(t)
     weights = members.select("id", (F.col("id") % 7 + 1).cast("double").alias("prob"))
     spark = members.sparkSession
     q = spark.createDataFrame([(i + 1, [float(x) for x in r.text_vec]) for i, r in enumerate(members.orderBy("id").limit(3).collect())], "question_id int, vec array<double>")
@@ -421,11 +441,6 @@ def search_session_replay(t):
     return bayes.pruned(probs, 5).select("id", _r("prob", 9).alias("prob"))
 
 
-# the same over all usable points, without SQL; only beam_prune and the final five of the session are limited
-for _f in (blended_score, bayes_update, bayes_normalise, posterior_entropy, temper_posterior, expected_info_gain, best_question, ig_penalty, candidate_diversity, beam_prune, beam_stats, search_session_replay):
-    _QUERIES[f"{_f.__name__}_whole"] = lambda spark, sf_dir, f=_f: f(_Whole(spark, sf_dir))
-
-
 # clusters
 
 CENTRES = [[1024.0, 768.0], [3000.0, 2000.0], [4000.0, 5000.0]]
@@ -509,7 +524,7 @@ def parse_float_answers(t):
     return t(V).select("id", numbers.parse_float(c).alias("number"), numbers.answer(c).alias("answer"))
 
 
-@query("SELECT id, floor(min_value * 100 + 0.5) / 100 AS low, CASE WHEN isnan(max_value) THEN max_value ELSE floor(max_value * 100 + 0.5) / 100 END AS high FROM valuation")
+@query("SELECT id, floor(min_value * 100 + 0.5) / 100 AS low, CASE WHEN NOT isnan(max_value) THEN floor(max_value * 100 + 0.5) / 100 END AS high FROM valuation")
 def rounded_values(t):
     return t(V).select("id", numbers.round_half_up(F.col("min_value")).alias("low"), numbers.round_half_up(F.col("max_value")).alias("high"))
 

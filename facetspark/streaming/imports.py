@@ -12,10 +12,11 @@ from ..sources.tables import Store, upsert
 
 
 def arrivals(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame:
-    """New rows of a Parquet folder, repeats of a hash within the watermark dropped."""
+    """New rows of a Parquet folder, repeats of a hash within the watermark dropped. A row without a hash repeats none but itself."""
     rows = spark.readStream.schema(IMAGE_IMPORT).parquet(folder)
     at = F.to_timestamp("imported_at")
-    return rows.withColumn("at", at).withWatermark("at", late).dropDuplicatesWithinWatermark(["hash"]).drop("at")
+    what = F.coalesce(F.concat(F.lit("hash "), "hash"), F.concat(F.lit("row "), "id"), F.concat(F.lit("path "), "source_path"), F.uuid())
+    return rows.withColumn("at", at).withColumn("what", what).withWatermark("at", late).dropDuplicatesWithinWatermark(["what"]).drop("at", "what")
 
 
 def import_stream(rows: DataFrame, store: Store, table: str, checkpoint: str) -> StreamingQuery:

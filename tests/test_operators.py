@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from facetspark import providers
+from facetspark.functions import text
 from facetspark.operators import bayes, curation, fulltext, imports, kmeans, search
 from facetspark.operators.session import SearchSession
 from facetspark.plans import catalog, standards
@@ -132,11 +134,11 @@ def test_import_stream(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"))
     store.ensure("image_import")
     schema = store.read("image_import").schema
-    rows = [(i, f"p{i}", f"h{i % 3}", "pending", None, None, None, None, "2023-01-01 00:00:00", None) for i in range(6)]
+    rows = [(i, f"p{i}", f"h{i % 3}" if i < 6 else None, "pending", None, None, None, None, "2023-01-01 00:00:00", None) for i in range(8)]
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         import_stream(arrivals(spark, str(tmp_path / "in")), store, "image_import", str(tmp_path / "c")).awaitTermination(120)
-    assert sorted(r.hash for r in store.read("image_import").collect()) == ["h0", "h1", "h2"]
+    assert sorted(str(r.hash) for r in store.read("image_import").collect()) == ["None", "None", "h0", "h1", "h2"]
 
 
 def test_standards(spark, tmp_path):
@@ -177,8 +179,41 @@ def test_bayes_over_all_points(spark, tmp_path):
     spark.createDataFrame(rows, "id long, text_vec array<float>, visual_vec array<float>").write.parquet(f"{tmp_path}/vector_point.parquet")
     run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
     weight = {i: i % 7 + 1 for i in range(1, 251)}
-    got = {x.id: x.prob for x in run("bayes_normalise_whole")}
+    got = {x.id: x.prob for x in run("bayes_normalise")}
     assert set(got) == set(weight) and all(abs(got[i] - w / sum(weight.values())) < 1e-8 for i, w in weight.items())
-    assert len(run("blended_score_whole")) == 750 and run("beam_stats_whole")[0].size == 250
-    assert len(run("beam_prune_whole")) == 50 and len(run("search_session_replay_whole")) == 5
-    assert len(run("blended_score")) == 600  # as its SQL
+    assert len(run("blended_score")) == 750 and run("beam_stats")[0].size == 250
+    assert len(run("beam_prune")) == 50 and len(run("search_session_replay")) == 5
+
+
+def test_most_similar(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(90, 8))
+    x[7], x[8], x[9] = x[6], 0, -x[6]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(90, None), (91, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("query_id", F.lit(1))
+    q = df.filter("id % 10 = 6 or id = 8").select(F.col("id").alias("query_id"), F.col("v").alias("vec"))
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    score = np.where((np.abs(x).sum(1) > 0)[:, None] & (np.abs(x).sum(1) > 0), np.round((u @ u.T + 1) / 2, 12), 0)
+    for block in (2048, 3):
+        got = {}
+        for g in bayes.most_similar(df.repartition(3), "v", q, 5, block).orderBy(F.desc("score"), "id").collect():
+            got.setdefault(g.query_id, []).append(g.id)
+        assert got == {i: sorted(range(90), key=lambda j: (-score[i][j], j))[:5] for i in (6, 8, 16, 26, 36, 46, 56, 66, 76, 86)}
+    assert bayes.most_similar(df, "v", q.limit(0), 5).count() == 0 and bayes.most_similar(df.limit(0), "v", q, 5).count() == 0
+
+
+def test_free_names(spark):
+    f = spark.createDataFrame([("file:///x/a.jpg", 1.0), ("file:///y/a.jpg", 1.0), ("file:///z/a.jpg", 2.0), ("file:///x/a_3.jpg", 1.0), ("file:///x/.b", 1.0), ("file:///x/c", 1.0)], "url string, max_value double")
+    have = spark.createDataFrame([("a.jpg", 5.0), ("a_1.jpg", 1.0), (".b", 1.0), (None, 1.0)], "name string, max_value double")
+    got = {r.url[8:]: r.target for r in curation.plan_move(f, have, "rename").collect()}
+    assert got == {"x/a.jpg": "a_2.jpg", "y/a.jpg": "a_4.jpg", "z/a.jpg": "a_5.jpg", "x/a_3.jpg": "a_3.jpg", "x/.b": ".b_1", "x/c": "c"}
+    df = spark.createDataFrame([(1, "d", "a.png"), (2, "d", "a.png"), (3, "d", "a_1.png"), (4, "e", "a.png"), (5, "d", "a.png"), (6, None, "a.png"), (7, None, "a.png"), (8, "d", None)], "id long, folder string, name string")
+    assert {r.id: r.unique_name for r in curation.unique_names(df, "folder", "name", "id").collect()} == {1: "a.png", 2: "a_2.png", 3: "a_1.png", 4: "a.png", 5: "a_3.png", 6: "a.png", 7: "a_1.png", 8: None}
+    assert curation.unique_names(df.limit(0), "folder", "name", "id").count() == 0
+
+
+def test_values_that_are_no_number(spark):
+    df = spark.createDataFrame([(1, 1.005, float("nan"))], "id long, min_value double, max_value double").select("*", *[F.lit("x").alias(c) for c in ("standard_name", "image_format", "valued_at", "description")])
+    assert search.tool_view(df).first().max_value is None and search.tool_view(df).first().min_value == 1.005
+    long = "file:///" + "a" * 3_000_000
+    assert df.select(text.file_path(F.lit(long)).alias("p")).selectExpr("length(p)").first()[0] == 3_000_001
