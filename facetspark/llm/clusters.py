@@ -8,13 +8,14 @@ agglomeration joins the remaining leaves of two or more points, cheapest merge f
 every point to its nearest centroid, if that is close enough.
 
 ``linked`` follows with the exact check: two points belong together if and only if a chain of pairs of the given
-cosine joins them, whatever their groups. A group is a ball about the mean of its members; those far from it and
-points of no group are the rest, which has no ball. Links inside a group or the rest are found there. A point is sent to every other ball
-that the triangle inequality lets it reach (of two balls, to one), a point of the rest to all of those. The labels so
-joined are then made one by star rounds.
-
-Defined cases: unusable vectors (see vectors.usable) take no part; equal vectors fall into one leaf; a group larger
-than GROUP points is checked in hashed parts, every part against every other; an empty table gives no rows; other
+cosine joins them, whatever their groups. The members near a centroid are a ball; all other points are the rest.
+Balls are put into blocks of about BLOCK points, so is the rest, and every block meets every other in one task a pair of
+them. There a point is compared with a ball's members only if the triangle inequality lets it reach them: its distance
+to the ball's mean decides. Labels joined by links across groups are then made one by star rounds. Balls make the check
+cheap in products; in moved vectors, and among the rest, it is quadratic: (points / BLOCK) / 2 copies of the points.
+
+Defined cases: unusable vectors (see vectors.usable) take no part; equal vectors fall into one leaf; a ball larger
+than BLOCK points is checked in hashed parts, every part against every other; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -36,10 +37,12 @@ from .vectors import DIM, MOST_LEAVES, least_hashed, matrix, to_binary, usable
 #: Least cosine to a leaf's centroid, between centroids that Ward joins, and to a centroid for assignment.
 ABSORB, JOIN, ASSIGN = 0.7, 0.6, 0.5
 ROUNDS, CELL, MOST_VANTAGE = 3, 2500, 4096
-#: Leaves agglomerated in one task, centroids broadcast at once, points checked in one task, points asking there.
-WARD, CENTROIDS, GROUP, ASKED = 20_000, 20_000, 32_768, 65_536
-#: Least cosine of a ball's points to its centre, and the number of the group that has no ball.
-CORE, REST = 0.86, -(2**63)
+#: Leaves agglomerated in one task, centroids broadcast at once, points held (and asking) in one task of the exact check.
+WARD, CENTROIDS, BLOCK = 20_000, 20_000, 131_072
+#: Beyond CENTROIDS: cells a centroid is sent to, and tasks that share the points of a cell.
+WAYS, SALTS = 3, 4
+#: Least cosine of a ball's points to their centroid.
+CORE = 0.86
 
 
 class Leaves:
@@ -192,44 +195,79 @@ def ward(leaves: DataFrame) -> DataFrame:
 
 
 def assign(points: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(space, id, vec, cluster, cos): every point with the nearest centroid; cluster is null if none is close enough.
+    """(space, id, vec, cluster, cos): every point with a centroid near it; cluster is null if none is at cosine ASSIGN.
 
-    Centroids are broadcast in blocks of CENTROIDS; with several blocks a point's best of all is kept.
+    Up to CENTROIDS centroids (counted) are broadcast. More are met in cells: a point goes to its nearest vantage point,
+    a centroid to its WAYS nearest, so a few points get a centroid that isn't the very nearest or none; ``linked`` makes up for it.
     """
     clusters = cut(clusters)
-    none = np.zeros((1, DIM), np.float32), np.zeros(1, np.int64)
-    out, blocks = None, max(1, -(-clusters.count() // CENTROIDS))
-    for k in range(blocks):
-        rows = (clusters if blocks == 1 else clusters.filter(F.pmod(F.xxhash64("lead"), F.lit(blocks)) == k)).select("space", "lead", "sum").collect()
+    if clusters.limit(CENTROIDS + 1).count() <= CENTROIDS:
         mids = {}
-        for s in {r.space for r in rows}:
-            v = matrix([bytes(r["sum"]) for r in rows if r.space == s])
-            mids[s] = (v / np.linalg.norm(v, axis=1, keepdims=True), np.asarray([r.lead for r in rows if r.space == s]))
-        held = points.sparkSession.sparkContext.broadcast(mids)
+        for r in clusters.select("space", "lead", "sum").collect():
+            mids.setdefault(r.space, []).append((r.lead, bytes(r["sum"])))
+        held = points.sparkSession.sparkContext.broadcast({s: _units(m) for s, m in mids.items()})
 
-        def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            none = np.zeros((1, DIM), np.float32), np.zeros(1, np.int64)
+            for b in batches:
+                names, x = np.asarray(b.column(0).to_pylist()), matrix(b.column(2).to_pylist())
+                for s in np.unique(names):
+                    yield from _nearest(b.take(pa.array(np.flatnonzero(names == s))), x[names == s], *held.value.get(str(s), none))
+
+        return points.select("space", "id", "vec").mapInArrow(each, _ASSIGNED)
+    vantage = {}
+    for row in clusters.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect():
+        top = least_hashed(clusters.filter(F.col("space") == row.space), row.n, int(np.clip(row.n // 64, 1, MOST_VANTAGE)), "lead").select("sum").collect()
+        v = matrix([bytes(t["sum"]) for t in top])
+        vantage[row.space] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    held = points.sparkSession.sparkContext.broadcast(vantage)
+
+    def placed(ways: int):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 names, x = np.asarray(b.column(0).to_pylist()), matrix(b.column(2).to_pylist())
                 for s in np.unique(names):
-                    v, lead = held.value.get(str(s), none)
-                    rows = np.flatnonzero(names == s)
+                    rows, v = np.flatnonzero(names == s), held.value.get(str(s), np.eye(1, DIM, dtype=np.float32))
                     for a in range(0, len(rows), 2048):
                         at = rows[a : a + 2048]
-                        cos = x[at] @ v.T
-                        best = cos.argmax(axis=1)
-                        top = cos[np.arange(len(at)), best].astype(np.float64)
-                        yield pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, pa.array(lead[best], mask=top < ASSIGN), pa.array(top)], names=["space", "id", "vec", "cluster", "cos"])
+                        k = min(ways, len(v))
+                        cell = np.argpartition(-(x[at] @ v.T), k - 1, axis=1)[:, :k]
+                        yield pa.RecordBatch.from_arrays([*b.take(pa.array(np.repeat(at, k))).columns, pa.array(cell.ravel())], names=["space", "id", "vec", "cell"])
+
+        return each
+
+    keys, row = ["space", "cell", "chunk"], "space string, id long, vec binary, cell long"
+    mine = points.select("space", "id", "vec").mapInArrow(placed(1), row).select("*", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("long").alias("chunk"))
+    near = clusters.select("space", F.col("lead").alias("id"), F.col("sum").alias("vec")).mapInArrow(placed(WAYS), row).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+    def meet(key, pdf: pd.DataFrame, mid: pd.DataFrame) -> pd.DataFrame:
+        v, lead = _units([(0, bytes(np.zeros(DIM, np.float32)))]) if mid.empty else _units(list(zip(mid["id"], mid["vec"])))
+        b = pa.RecordBatch.from_pandas(pdf[["space", "id", "vec"]], preserve_index=False)
+        parts = [p.to_pandas() for p in _nearest(b, matrix(pdf["vec"]), v, lead)]
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("space", "id", "vec", "cluster", "cos")})
 
-        part = points.select("space", "id", "vec").mapInArrow(each, "space string, id long, vec binary, cluster long, cos double")
-        out = part if out is None else out.unionByName(part)
-    if blocks > 1:
-        best = out.groupBy("space", "id").agg(F.max(F.struct("cos", "cluster")).alias("b")).select("space", "id", F.col("b.cluster").alias("cluster"), F.col("b.cos").alias("cos"))
-        out = points.select("space", "id", "vec").join(best, ["space", "id"])
-    return out.select("space", "id", "vec", "cluster", "cos")
+    return mine.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(meet, _ASSIGNED)
+
+
+_ASSIGNED = "space string, id long, vec binary, cluster long, cos double"
+
+
+def _units(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, numbers) of (number, sum) rows."""
+    v = matrix([bytes(b) for _, b in rows])
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), np.asarray([i for i, _ in rows], np.int64)
+
+
+def _nearest(b: pa.RecordBatch, x: np.ndarray, v: np.ndarray, lead: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(x), 2048):
+        cos = x[a : a + 2048] @ v.T
+        best = cos.argmax(axis=1)
+        top = cos[np.arange(len(best)), best].astype(np.float64)
+        yield pa.RecordBatch.from_arrays([*b.slice(a, len(best)).columns, pa.array(lead[best], mask=top < ASSIGN), pa.array(top)], names=["space", "id", "vec", "cluster", "cos"])
 
 
 def cluster_points(points: DataFrame) -> DataFrame:
-    """Every point with its cluster (the least id among its cluster's summarised points; null if none is near) and cosine to the centroid."""
+    """Every point with its cluster (the least id among its cluster's summarised points; null if none is near) and its cosine."""
     return assign(points, ward(reduce_leaves(grow(points))))
 
 
@@ -251,71 +289,139 @@ def components(x: np.ndarray, least: float) -> np.ndarray:
 
 
 def linked(assigned: DataFrame, least: float) -> DataFrame:
-    """(space, lead_id, id, cos): the exact components of all points, lead_id being a component's least id.
-
-    cos is to the mean of the point's own group, null for a point of the rest.
-    """
-    assigned = cut(assigned)
-    balls = cut(_means(assigned))
-    rows = _placed(assigned, balls)
-    cells = rows.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("reach"))
-    balls = cut(cells.join(balls.withColumnRenamed("cluster", "cell"), ["space", "cell"], "left"))
-    asked = _routes(rows, balls, least, False).groupBy("space", "cell").agg(F.count(F.lit(1)).alias("asked"))
-    plan = balls.join(asked, ["space", "cell"], "left").select("space", "cell", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.col("asked") / ASKED)).cast("int").alias("chunks"))
-    plan = small(cut(plan))
-    part = F.pmod(F.xxhash64("id"), "parts").cast("int")
-    rows = rows.join(plan, ["space", "cell"]).withColumn("part", part)
-    to = lambda first, last: F.explode(F.sequence(first, last))
-    cols = ["space", "cell", "i", "j", "chunk", "ask", "id", "vec", "cos"]
-    held = rows.withColumn("i", F.col("part")).withColumn("j", to(F.col("part"), F.col("parts") - 1)).withColumn("chunk", to(F.lit(0), F.when(F.col("i") == F.col("j"), F.col("chunks") - 1).otherwise(0)))
-    across = rows.filter("part > 0").withColumn("j", F.col("part")).withColumn("i", to(F.lit(0), F.col("part") - 1)).withColumn("chunk", F.lit(0))
-    routed = _routes(rows, balls, least, True).join(plan, ["space", "cell"]).withColumn("i", to(F.lit(0), F.col("parts") - 1)).withColumn("j", F.col("i")).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    tasks = held.withColumn("ask", F.lit(False)).select(*cols).unionByName(across.unionByName(routed, True).withColumn("ask", F.lit(True)).select(*cols))
+    """(space, lead_id, id): the exact components of all points, lead_id being a component's least id."""
+    assigned = cut(assigned.select("space", "id", "vec", F.when(F.col("cos") >= CORE, F.col("cluster")).alias("cell")))
+    sizes = assigned.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("n"))
+    each = F.when(F.col("cell").isNull(), "rest").when(F.col("n") > BLOCK, "hot").otherwise("core").alias("kind")
+    totals = sizes.groupBy("space", each).agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > BLOCK, F.struct("cell", "n"))).alias("hot")).collect()
+    rows = None
+    for space in sorted({t.space for t in totals}):
+        mine = {t.kind: t for t in totals if t.space == space}
+        blocks = {k: -(-mine[k].n // BLOCK) if k in mine else 0 for k in ("rest", "core")}
+        of_id = lambda m: F.pmod(F.xxhash64("id"), F.lit(max(m, 1)))
+        block = F.when(F.col("cell").isNull(), of_id(blocks["rest"]))
+        at = blocks["rest"] + blocks["core"]
+        for ball in mine["hot"].hot if "hot" in mine else []:  # at most n / BLOCK of them
+            block, at = block.when(F.col("cell") == ball.cell, at + of_id(-(-ball.n // BLOCK))), at + -(-ball.n // BLOCK)
+        block = block.otherwise(blocks["rest"] + F.pmod(F.xxhash64("cell"), F.lit(max(blocks["core"], 1))))
+        part = assigned.filter(F.col("space") == space).withColumn("block", block.cast("int"))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return assigned.select("space", F.col("id").alias("lead_id"), "id")
+    counts = {}
+    for r in rows.groupBy("space", "block").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a block
+        counts.setdefault(r.space, {})[r.block] = r.n
+    plan = []
+    for space, n in counts.items():
+        lower = 0
+        for block in sorted(n):
+            plan.append((space, block, max(1, -(-lower // BLOCK))))
+            lower += n[block]
+    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, "space string, block int, chunks int"))
+    cols = ["space", "block", "chunk", "ask", "id", "vec", "cell"]
+    held = rows.join(plan, ["space", "block"]).withColumn("ask", F.lit(False)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asks = rows.select("space", "id", "vec", "cell", F.col("block").alias("own")).join(plan, ["space"]).filter("block > own").withColumn("ask", F.lit(True)).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    tasks = held.select(*cols).unionByName(asks.select(*cols))
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ask = pdf["ask"].to_numpy()
-        x, ids, cos = matrix(pdf["vec"][~ask]), pdf["id"].to_numpy()[~ask], pdf["cos"].to_numpy(np.float64)[~ask]
-        comp = _loose(x, least) if key[1] == REST else components(x, least)
-        order = np.argsort(comp, kind="stable")
-        starts = np.flatnonzero(np.diff(comp[order], prepend=-1))
-        lead = np.minimum.reduceat(ids[order], starts) if len(ids) else ids
-        out = []
-        if key[2] == key[3] and key[4] == 0:
-            out.append(pd.DataFrame({"id": ids, "lead_id": lead[comp], "own": True, "cos": np.where(np.isnan(cos), None, cos)}))
-        q, qid = matrix(pdf["vec"][ask]), pdf["id"].to_numpy()[ask]
-        x = x[order]
-        for a in range(0, len(q) if len(x) else 0, 512):
-            hit = q[a : a + 512] @ x.T >= least
-            some = np.flatnonzero(hit.any(axis=1))
-            if len(some):
-                r, c = np.nonzero(np.logical_or.reduceat(hit[some], starts, axis=1))
-                out.append(pd.DataFrame({"id": qid[a + some[r]], "lead_id": lead[c], "own": False, "cos": None}))
-        out = pd.concat(out) if out else pd.DataFrame({"id": [], "lead_id": [], "own": [], "cos": []})
-        return out.assign(space=key[0])[["space", "id", "lead_id", "own", "cos"]]
-
-    found = cut(tasks.groupBy("space", "cell", "i", "j", "chunk").applyInPandas(one, "space string, id long, lead_id long, own boolean, cos double"))
+        pdf, q = pdf[~ask], pdf[ask]
+        got = _block_links(matrix(pdf["vec"]), pdf["id"].to_numpy(np.int64), pdf["cell"], matrix(q["vec"]), q["id"].to_numpy(np.int64), least, key[2] == 0)
+        return got.assign(space=key[0])[["space", "id", "lead_id", "own"]]
+
+    found = cut(tasks.groupBy("space", "block", "chunk").applyInPandas(one, "space string, id long, lead_id long, own boolean"))
     own = found.filter("own")
     label = lambda name, to: own.select("space", F.col("id").alias(name), F.col("lead_id").alias(to))
     links = found.filter("not own").select("space", "id", "lead_id").join(label("id", "u"), ["space", "id"]).join(label("lead_id", "v"), ["space", "lead_id"])
     whole = stars(links.select("space", "u", "v")).select("space", F.col("u").alias("lead_id"), F.col("v").alias("whole"))
-    return own.join(small(whole), ["space", "lead_id"], "left").select("space", F.coalesce("whole", "lead_id").alias("lead_id"), "id", "cos")
+    return own.join(small(whole), ["space", "lead_id"], "left").select("space", F.coalesce("whole", "lead_id").alias("lead_id"), "id")
+
+
+def _block_links(x: np.ndarray, ids: np.ndarray, cells: pd.Series, q: np.ndarray, qid: np.ndarray, least: float, first: bool) -> pd.DataFrame:
+    """(id, lead_id, own) of a task: the component of each held row in its block (own, if ``first``) and links of asking rows."""
+    out, lead = [], ids.copy()
+    rest = np.flatnonzero(cells.isna())
+    if len(rest):  # a block is either of balls or of the rest
+        if first:
+            lead = _leads(_loose(x, least), ids)
+            out.append(pd.DataFrame({"id": ids, "lead_id": lead, "own": True}))
+        comp = None
+        for a in range(0, len(q), 512):
+            hit = q[a : a + 512] @ x.T >= least
+            r, c = np.nonzero(hit)
+            if comp is None and len(r) > 64 * len(hit):  # densely linked: name each component once
+                comp = _loose(x, least)
+                order = np.argsort(comp, kind="stable")
+                starts = np.flatnonzero(np.diff(comp[order], prepend=-1))
+            if comp is not None:
+                r, c = np.nonzero(np.logical_or.reduceat(hit[:, order], starts, axis=1))
+                c = order[starts[c]]
+            out.append(pd.DataFrame({"id": qid[a + r], "lead_id": ids[c], "own": False}))
+    else:
+        order = np.argsort(cells.to_numpy(np.int64), kind="stable")
+        x, ids = x[order], ids[order]
+        starts = np.flatnonzero(np.diff(cells.to_numpy(np.int64)[order], prepend=np.int64(-(2**63)))) if len(ids) else np.empty(0, int)
+        ends = np.append(starts[1:], len(ids)).astype(int)
+        mid = np.add.reduceat(x, starts) if len(ids) else x
+        mid = mid / np.maximum(np.linalg.norm(mid, axis=1, keepdims=True), 1e-12)
+        ball = np.repeat(np.arange(len(starts)), ends - starts)
+        reach = np.minimum.reduceat(np.einsum("ij,ij->i", x, mid[ball]), starts) if len(ids) else np.empty(0)
+        # 1e-4: rounding of the cosines
+        bound = np.cos(np.minimum(np.pi, np.arccos(np.clip(reach, -1, 1)) + np.arccos(least))) - 1e-4
+        both, names, lowest = (np.concatenate([q, x]), np.concatenate([qid, ids]), np.concatenate([np.full(len(q), -1), ball])) if first else (q, qid, np.full(len(q), -1))
+        goes: list[list[np.ndarray]] = [[] for _ in starts]
+        for a in range(0, len(both), 2048):
+            r, b = np.nonzero((both[a : a + 2048] @ mid.T >= bound) & (lowest[a : a + 2048, None] < np.arange(len(starts))))
+            for b, rows in _by_key(b, a + r):
+                goes[b].append(rows)
+        lead = np.empty(len(ids), np.int64)
+        for b, (s, e) in enumerate(zip(starts, ends)):
+            comp = components(x[s:e], least)
+            at = np.argsort(comp, kind="stable")
+            heads = np.flatnonzero(np.diff(comp[at], prepend=-1))
+            name = np.minimum.reduceat(ids[s:e][at], heads)
+            lead[s:e] = name[comp]
+            rows = np.concatenate(goes[b]) if goes[b] else np.empty(0, int)
+            for a in range(0, len(rows), 2048):
+                hit = both[rows[a : a + 2048]] @ x[s:e][at].T >= least
+                some = np.flatnonzero(hit.any(axis=1))
+                if len(some):
+                    r, c = np.nonzero(np.logical_or.reduceat(hit[some], heads, axis=1))
+                    out.append(pd.DataFrame({"id": names[rows[a + some[r]]], "lead_id": name[c], "own": False}))
+        if first:
+            out.append(pd.DataFrame({"id": ids, "lead_id": lead, "own": True}))
+    return pd.concat(out) if out else pd.DataFrame({"id": [], "lead_id": [], "own": []})
+
+
+def _by_key(key: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    return ((int(key[at[0]]), value[at]) for at in np.split(order, cuts) if len(at))
+
+
+def _leads(comp: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id of each row's component."""
+    least = np.full(comp.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, comp, ids)
+    return least[comp]
 
 
 def _loose(x: np.ndarray, least: float) -> np.ndarray:
     """As ``components``, for rows most of which have no link: those are told apart by whole products first."""
-    lone = np.zeros(len(x), bool)
+    lone = np.ones(len(x), bool)
     for a in range(0, len(x), 512):
-        hit = x[a : a + 512] @ x.T >= least
+        hit = x[a : a + 512] @ x[a:].T >= least
         at = np.arange(len(hit))
-        hit[at, a + at] = False
-        lone[a : a + 512] = ~hit.any(axis=1)
+        hit[at, at] = False
+        lone[a : a + 512] &= ~hit.any(axis=1)
+        lone[a:] &= ~hit.any(axis=0)
     part = np.empty(len(x), np.int64)
     part[~lone] = components(x[~lone], least)
     part[lone] = part[~lone].max(initial=-1) + 1 + np.arange(lone.sum())
     return part
 
 
-def _means(assigned: DataFrame) -> DataFrame:
+def _means(members: DataFrame) -> DataFrame:
     """(space, cluster, sum): the vector sum of each group's members."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,70 +438,7 @@ def _means(assigned: DataFrame) -> DataFrame:
         return pd.DataFrame({"space": pdf["space"].iloc[:1], "cluster": pdf["cluster"].iloc[:1], "sum": [matrix(pdf["sum"]).sum(axis=0).tobytes()]})
 
     schema = "space string, cluster long, sum binary"
-    return assigned.filter("cluster is not null").select("space", "cluster", "vec").mapInArrow(each, schema).groupBy("space", "cluster").applyInPandas(total, schema)
-
-
-def _in_blocks(balls: DataFrame, *cols: str) -> Iterator[dict]:
-    """{space: (units, the other columns)} of the balls, CENTROIDS at once."""
-    blocks = max(1, -(-balls.count() // CENTROIDS))
-    for k in range(blocks):
-        rows = balls.filter(F.pmod(F.xxhash64("space", cols[0]), F.lit(blocks)) == k).select("space", "sum", *cols).collect()
-        out = {}
-        for s in {r.space for r in rows}:
-            v = matrix([bytes(r["sum"]) for r in rows if r.space == s])
-            out[s] = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), *[np.asarray([r[c] for r in rows if r.space == s]) for c in cols])
-        yield out
-
-
-def _placed(assigned: DataFrame, balls: DataFrame) -> DataFrame:
-    """(space, id, vec, cell, cos): cell is the group if its mean is at cosine CORE or more, else REST."""
-    out = assigned.filter("cluster is null").select("space", "id", "vec", F.lit(REST).alias("cell"), F.lit(None).cast("double").alias("cos"))
-    for block in _in_blocks(balls, "cluster"):
-        held = assigned.sparkSession.sparkContext.broadcast(block)
-
-        def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                names, group = np.asarray(b.column(0).to_pylist()), b.column(3).to_numpy(zero_copy_only=False)
-                x = matrix(b.column(2).to_pylist())
-                for s, (v, cluster) in held.value.items():
-                    order = np.argsort(cluster)
-                    rows = np.flatnonzero(names == s)
-                    at = np.minimum(np.searchsorted(cluster[order], group[rows]), len(order) - 1)
-                    here = cluster[order[at]] == group[rows]
-                    rows, at = rows[here], order[at[here]]
-                    cos = np.einsum("ij,ij->i", x[rows], v[at]).astype(np.float64)
-                    core = cos >= CORE
-                    yield pa.RecordBatch.from_arrays([*b.select([0, 1, 2]).take(pa.array(rows)).columns, pa.array(np.where(core, group[rows], REST)), pa.array(cos, mask=~core)], names=["space", "id", "vec", "cell", "cos"])
-
-        out = out.unionByName(assigned.filter("cluster is not null").select("space", "id", "vec", "cluster").mapInArrow(each, "space string, id long, vec binary, cell long, cos double"))
-    return out
-
-
-def _routes(rows: DataFrame, balls: DataFrame, least: float, vectors: bool) -> DataFrame:
-    """(space, cell, id, vec): the other balls in which a point may have a link; of two balls the one of greater number is asked."""
-    out, schema = None, "space string, cell long, id long" + ", vec binary" * vectors
-    for block in _in_blocks(balls.filter(F.col("cell") != REST), "cell", "reach"):
-        held = rows.sparkSession.sparkContext.broadcast(block)
-
-        def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                names, own = np.asarray(b.column(0).to_pylist()), b.column(3).to_numpy(zero_copy_only=False)
-                x = matrix(b.column(2).to_pylist())
-                for s, (v, cell, reach) in held.value.items():
-                    # 1e-4: rounding of the cosines
-                    bound = np.cos(np.minimum(np.pi, np.arccos(np.clip(reach, -1, 1)) + np.arccos(least))) - 1e-4
-                    mine = np.flatnonzero(names == s)
-                    for a in range(0, len(mine), 1024):
-                        at = mine[a : a + 1024]
-                        r, c = np.nonzero((x[at] @ v.T >= bound) & (cell > own[at, None]))
-                        for k in range(0, len(r), 8192):
-                            take = pa.array(at[r[k : k + 8192]])
-                            cols = [b.column(0).take(take), pa.array(cell[c[k : k + 8192]]), b.column(1).take(take)]
-                            yield pa.RecordBatch.from_arrays(cols + [b.column(2).take(take)] * vectors, names=["space", "cell", "id", "vec"][: len(cols) + vectors])
-
-        part = rows.select("space", "id", "vec", "cell").mapInArrow(each, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return members.select("space", "cluster", "vec").mapInArrow(each, schema).groupBy("space", "cluster").applyInPandas(total, schema)
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -434,22 +477,15 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typical(points: DataFrame) -> DataFrame:
     """(space, lead_id, size, typical_ids) of the clusters of eight or more; the centroid is the mean of all members."""
     members = cut(points.join(_clusters(points), ["space", "id"]).select("space", "id", "vec", F.col("lead_id").alias("cluster"), "size"))
-    near, balls = None, cut(_means(members))
-    for block in _in_blocks(balls, "cluster"):
-        held = points.sparkSession.sparkContext.broadcast(block)
+    near = members.join(small(cut(_means(members))), ["space", "cluster"])
 
-        def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = {(s, c): v for s, (vs, cs) in held.value.items() for v, c in zip(vs, cs)}
-                x = matrix(b.column(2).to_pylist())
-                keys = list(zip(b.column(0).to_pylist(), b.column(3).to_pylist()))
-                rows = [i for i, k in enumerate(keys) if k in at]
-                cos = [float(x[i] @ at[keys[i]]) for i in rows]
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(i).take(take) for i in (0, 1, 3, 4)] + [pa.array(cos, pa.float64())], names=["space", "id", "lead_id", "size", "cos"])
-
-        part = members.mapInArrow(each, "space string, id long, lead_id long, size long, cos double")
-        near = part if near is None else near.unionByName(part)
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, m = matrix(b.column(4).to_pylist()), matrix(b.column(5).to_pylist())
+            cos = np.einsum("ij,ij->i", x, m) / np.maximum(np.linalg.norm(m, axis=1), 1e-12)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cos.astype(np.float64))], names=["space", "lead_id", "id", "size", "cos"])
+
+    near = near.select("space", "cluster", "id", "size", "vec", "sum").mapInArrow(cosines, "space string, lead_id long, id long, size long, cos double")
     w = Window.partitionBy("space", "lead_id").orderBy(F.desc("cos"), "id")
     top = near.withColumn("r", F.row_number().over(w)).filter("r <= 5")
     return top.groupBy("space", "lead_id", "size").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("t")).select("space", "lead_id", "size", F.col("t.id").alias("typical_ids"))

@@ -124,7 +124,7 @@ def test_shards_split_for_hot_cells(spark, monkeypatch):
 
 @pytest.mark.parametrize("group", [10_000, 40])
 def test_clusters(spark, monkeypatch, group):
-    monkeypatch.setattr(clusters, "GROUP", group)
+    monkeypatch.setattr(clusters, "BLOCK", group)
     x = _clustered(1, groups=5, each=60, alone=50)
     points = usable(_table(spark, [*x, None]).repartition(4), {"s": "v"})
     got = clusters.linked(clusters.cluster_points(points), 0.65).collect()
@@ -207,11 +207,11 @@ def test_chain_across_groups_is_one_cluster(spark):
 
 
 def test_group_split_in_parts_keeps_all_links(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "GROUP", 40)
+    monkeypatch.setattr(clusters, "BLOCK", 40)
     x = np.stack([np.eye(128)[k : k + 3].sum(axis=0) for k in range(126)])  # each linked only to the next
     want = _whole(x)
     assert list(map(len, want)) == [126]
-    assigned = usable(_table(spark, x), {"s": "v"}).selectExpr("space", "id", "vec", "1L AS cluster", "1.0D / id AS cos")
+    assigned = usable(_table(spark, x), {"s": "v"}).selectExpr("space", "id", "vec", "1L AS cluster", "1.0D AS cos")
     got = clusters.linked(assigned, 0.65).collect()
     assert sorted(r.id for r in got) == want[0] and {r.lead_id for r in got} == {1}
     x = _clustered(6, groups=2, each=150, alone=10)
@@ -227,3 +227,18 @@ def test_loose_cluster_without_leaves_is_found(spark):
         assert _linked(spark, x) == want
     found = clusters.linked(clusters.cluster_points(usable(_table(spark, x), {"s": "v"})), 0.65)
     assert found.count() == len(x)
+
+
+def test_many_centroids_meet_points_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "CENTROIDS", 3)
+    x = np.concatenate([_clustered(8, groups=9, each=14, alone=25), _chain(clumps=4)])
+    assert _linked(spark, x) == _whole(x)
+    monkeypatch.setattr(clusters, "BLOCK", 30)
+    assert _linked(spark, x) == _whole(x)
+
+
+def test_rest_with_many_links(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 100)
+    monkeypatch.setattr(clusters, "CORE", 2.0)  # nothing is a ball
+    x = np.concatenate([_clustered(9, groups=1, each=250, alone=20), _chain(clumps=3)])
+    assert _linked(spark, x) == _whole(x)
