@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, small
+from .common import cut, read, slots, small
 from .neighbours import SPACES
 from .vectors import DIM, MOST_LEAVES, least_hashed, matrix, to_binary, usable
 
@@ -315,21 +315,25 @@ def linked(assigned: DataFrame, least: float) -> DataFrame:
     for space, n in counts.items():
         lower = 0
         for block in sorted(n):
-            plan.append((space, block, max(1, -(-lower // BLOCK))))
+            plan.append((space, block, max(1, -(-lower // BLOCK)), sum(p[2] for p in plan)))
             lower += n[block]
-    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, "space string, block int, chunks int"))
-    cols = ["space", "block", "chunk", "ask", "id", "vec", "cell"]
-    held = rows.join(plan, ["space", "block"]).withColumn("ask", F.lit(False)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asks = rows.select("space", "id", "vec", "cell", F.col("block").alias("own")).join(plan, ["space"]).filter("block > own").withColumn("ask", F.lit(True)).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    tasks = held.select(*cols).unionByName(asks.select(*cols))
+    tasks = sum(p[2] for p in plan)
+    slot = slots(rows.sparkSession, tasks)
+    task_of = {slot[first + c]: (space, c) for space, _, chunks, first in plan for c in range(chunks)}
+    plan = F.broadcast(rows.sparkSession.createDataFrame([(*p[:3], slot[p[3] : p[3] + p[2]]) for p in plan], "space string, block int, chunks int, slots array<int>"))
+    cols = ["slot", "ask", "id", "vec", "cell"]
+    held = rows.join(plan, ["space", "block"]).withColumn("ask", F.lit(False)).withColumn("slot", F.explode("slots"))
+    asks = rows.select("space", "id", "vec", "cell", F.col("block").alias("own")).join(plan, ["space"]).filter("block > own").withColumn("ask", F.lit(True)).withColumn("slot", F.get("slots", F.pmod(F.xxhash64("id"), "chunks").cast("int")))
+    meet = held.select(*cols).unionByName(asks.select(*cols))
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ask = pdf["ask"].to_numpy()
         pdf, q = pdf[~ask], pdf[ask]
-        got = _block_links(matrix(pdf["vec"]), pdf["id"].to_numpy(np.int64), pdf["cell"], matrix(q["vec"]), q["id"].to_numpy(np.int64), least, key[2] == 0)
-        return got.assign(space=key[0])[["space", "id", "lead_id", "own"]]
+        space, chunk = task_of[key[0]]
+        got = _block_links(matrix(pdf["vec"]), pdf["id"].to_numpy(np.int64), pdf["cell"], matrix(q["vec"]), q["id"].to_numpy(np.int64), least, chunk == 0)
+        return got.assign(space=space)[["space", "id", "lead_id", "own"]]
 
-    found = cut(tasks.groupBy("space", "block", "chunk").applyInPandas(one, "space string, id long, lead_id long, own boolean"))
+    found = cut(meet.repartition(tasks, "slot").groupBy("slot").applyInPandas(one, "space string, id long, lead_id long, own boolean"))
     own = found.filter("own")
     label = lambda name, to: own.select("space", F.col("id").alias(name), F.col("lead_id").alias(to))
     links = found.filter("not own").select("space", "id", "lead_id").join(label("id", "u"), ["space", "id"]).join(label("lead_id", "v"), ["space", "lead_id"])

@@ -19,14 +19,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder of spark.checkpoint.dir, which all executors share, and cut its lineage.
 
-    A folder of this machine is used only where the session names none and none was set, as in tests.
+    The files are deleted once nothing refers to the rows any more, unless the session says otherwise. A folder of this
+    machine is used only on a local master that names none, as in tests; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="facetspark-checkpoint-"))
+    sc._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
+def slots(spark: SparkSession, n: int) -> list[int]:
+    """n int numbers, the k-th of which ``repartition(n, column)`` puts into partition k: tasks without collisions."""
+    tried = 16 * n + 64
+    while True:
+        at = spark.range(tried).select(F.col("id").cast("int").alias("v")).groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).collect()
+        if len(at) == n:
+            return [r.v for r in sorted(at)]
+        tried *= 2
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (already materialised) with a broadcast hint if it has at most ``limit`` rows, else as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -2,11 +2,12 @@
 
 The root of the tree has many vantage points, drawn from a bounded sample: each vector belongs to the cell of its
 nearest one, and cells are grouped into shards. Within a cell a binary vantage-point tree splits at the median
-distance until leaves are small; leaves are compared by matrix products. A query of current radius t (the distance
+distance down to leaves of at most LEAF vectors; leaves are compared by matrix products. A query of current radius t (the distance
 of its k-th neighbour so far, or of the least cosine asked for) must enter a cell only if its distance to the cell's
 vantage point exceeds that to the nearest by at most 2 t, and the far side of a split only if it lies within t of
 the boundary: both follow from the triangle inequality. ``factor`` scales t in these tests: 1 is exact, less prunes
-more and may lose neighbours. Every vector is indexed; only vantage points come from the sample.
+more and may lose neighbours. Where a least cosine fixes the radius, trees are searched with factor 1 and only the root
+is relaxed. Every vector is indexed; only vantage points come from the sample.
 
 Equal vectors are one point of the tree and are expanded to at most k of their ids at the end (of equally similar
 ones the least ids count), so a hot group of copies costs one point. Cells too large for one task, and queries too
@@ -27,48 +28,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, small
+from .common import cut, read, slots, small
 from .vectors import DIM, chord, matrix, sample_units, to_binary, usable
 
-LEAF = 512
-#: Vectors a cell should have, most vantage points, vectors of a shard, queries a task takes at once.
+#: Most vectors of a leaf, and vectors tried as the vantage point of a split.
+LEAF, TRIED = 32, 5
+#: Vectors a cell should have, most vantage points at the root, vectors of a shard, queries a task takes at once.
 CELL, MOST_VANTAGE, SHARD, ASKED = 200, 4096, 32_768, 65_536
 FACTOR = 0.12
 
 
 class VantageTree:
-    """Binary vantage-point tree over unit vectors; searched by many queries at once."""
+    """Binary vantage-point tree over unit vectors; searched by many queries at once.
+
+    A node keeps the vantage point and the radius of the ball of its nearer half. ``splits`` counts its inner nodes,
+    ``compared`` and ``pruned`` pairs of a query and a vector that a search compared and that it ruled out.
+    """
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
-        self.x, self.ids = x, ids
+        self.x, self.ids, self.splits, self.compared, self.pruned = x, ids, 0, 0, 0
         self.root = self._build(np.arange(len(x)))
 
     def _build(self, at: np.ndarray):
         if len(at) <= LEAF:
             return at
-        vantage = self.x[at[0]]
-        d = chord(self.x[at] @ vantage)
+        tried = self.x[at[np.linspace(0, len(at) - 1, TRIED).astype(int)]]
+        d = chord(self.x[at] @ tried.T)
+        best = int(np.argmax(d.std(axis=0)))  # the wider distances spread, the more a boundary tells apart
+        vantage, d = tried[best], d[:, best]
         middle = float(np.median(d))
         near = d <= middle
         if near.all():  # half of them or more are equally far: no boundary tells them apart
             return at
-        return vantage, middle, self._build(at[near]), self._build(at[~near])
+        self.splits += 1
+        return vantage, middle, self._build(at[near]), self._build(at[~near]), int(near.sum()), int((~near).sum())
 
     def search(self, q: np.ndarray, qid: np.ndarray, top: Top, rows: np.ndarray, factor: float, node=None) -> None:
         node = self.root if node is None else node
         if not len(rows):
             return
         if isinstance(node, np.ndarray):
-            for a in range(0, len(node), 4 * LEAF):
-                part = node[a : a + 4 * LEAF]
+            self.compared += len(rows) * len(node)
+            for a in range(0, len(node), 2048):
+                part = node[a : a + 2048]
                 top.add(rows, q[rows] @ self.x[part].T, self.ids[part], qid[rows])
             return
-        vantage, middle, near, far = node
+        vantage, middle, near, far, n_near, n_far = node
         d = chord(q[rows] @ vantage)
         inside = d <= middle
         self.search(q, qid, top, rows[inside], factor, near)
         self.search(q, qid, top, rows[~inside], factor, far)
         reach = (np.abs(d - middle) <= factor * top.radius(rows)) | top.short(rows)
+        self.pruned += int((inside & ~reach).sum()) * n_far + int((~inside & ~reach).sum()) * n_near
         self.search(q, qid, top, rows[inside & reach], factor, far)
         self.search(q, qid, top, rows[~inside & reach], factor, near)
 
@@ -149,11 +160,16 @@ def nearest(points: DataFrame, queries: DataFrame | None, spaces: list[str], k:
     """(space, id, neighbour, cos): up to k most similar others of each query of cosine least_cos or more.
 
     points, queries: (space, id, vec) as vectors.usable returns them; queries None: every point is one.
-    Without a useful least_cos the queries first look into their own cell to learn a radius.
+    Without a useful least_cos the queries first look into their own cell to learn a radius. points is read several
+    times: pass it materialised.
     """
     members = cut(_copies(points))
     extra = cut(members.filter("id <> lead").select("space", "id"))
-    classes = points.join(small(extra), ["space", "id"], "left_anti").select("space", "id", "vec")
+    classes = points.select("space", "id", "vec")
+    if not extra.isEmpty():
+        held = small(extra)
+        classes = classes.join(held, ["space", "id"], "left_anti").select("space", "id", "vec")
+        classes = classes if held is not extra else cut(classes)
     sizes = {r.space: r.n for r in classes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}
     routers = {s: Router.fit(sample_units(classes, s, sizes[s]), sizes[s]) for s in spaces if s in sizes}
     start, askers, asked = float(chord(np.float64(max(least_cos, -1.0)))), None, classes
@@ -187,8 +203,12 @@ def _search(classes: DataFrame, asked: DataFrame, routers: dict[str, Router], k:
     itself: the radius if every point asks; the vectors of a task are then among its queries and aren't sent twice.
     """
 
-    def place(role: int):
+    for router in routers.values():
+        router.parts[:], router.chunks[:] = 1, 1
+
+    def place(role: int, count: bool = False):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loads: dict[str, np.ndarray] = {}
             for b in batches:
                 for a in range(0, b.num_rows, 4096):
                     part = b.slice(a, 4096)
@@ -220,30 +240,43 @@ def _search(classes: DataFrame, asked: DataFrame, routers: dict[str, Router], k:
                             r = np.repeat(np.arange(len(rows)), times)
                             shard, part_no = shard[r], part_no[r]
                             chunk = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                        at = rows[r]
-                        yield pa.record_batch(
-                            [pa.array([s] * len(at)), pa.array(shard.astype(np.int32)), pa.array(part_no.astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(ids[at]), to_binary(x[at]), pa.array(radius[at] if role else np.zeros(len(at)))],
-                            names=["space", "shard", "part", "chunk", "id", "vec", "radius"],
-                        )
+                        if count:
+                            loads[s] = loads.get(s, 0) + np.bincount(shard, minlength=len(router.parts))
+                            continue
+                        at, slot = rows[r], slot_of[s][first[s][shard] + part_no * router.chunks[shard] + chunk]
+                        yield pa.record_batch([pa.array(slot), pa.array(ids[at]), to_binary(x[at]), pa.array(radius[at] if role else np.zeros(len(at)))], names=["slot", "id", "vec", "radius"])
+            for s, n in loads.items():
+                yield pa.record_batch([pa.array([s] * len(n)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(np.full(len(n), role, np.int32)), pa.array(n.astype(np.int64))], names=["space", "shard", "role", "n"])
 
         return each
 
-    schema = "space string, shard int, part int, chunk int, id long, vec binary, radius double"
-    held = classes.withColumn("radius", F.lit(0.0))
-    load = [(r.space, r.shard, r.role, r.n) for r in _loads(held, asked, place, schema)]
-    for s, router in routers.items():
-        for space, shard, role, n in load:
-            if space == s and role == 0:
-                router.parts[shard] = -(-n // (2 * SHARD))
-            if space == s and role == 1:
-                router.chunks[shard] = -(-n // ASKED)
+    first: dict[str, np.ndarray] = {}
+    slot_of: dict[str, np.ndarray] = {}
+    sides = [classes.withColumn("radius", F.lit(0.0)), asked.select("space", "id", "vec", "radius")]
+    load = [d.mapInArrow(place(i, True), "space string, shard int, role int, n long") for i, d in enumerate(sides)]
+    for r in load[0].unionByName(load[1]).groupBy("space", "shard", "role").agg(F.sum("n").alias("n")).collect():  # two rows a shard
+        router = routers[r.space]
+        if r.role == 0:
+            router.parts[r.shard] = max(1, -(-r.n // (2 * SHARD)))
+        else:
+            router.chunks[r.shard] = max(1, -(-r.n // ASKED))
+    sizes = {s: r.parts * r.chunks for s, r in routers.items()}
+    # a task for every part of a shard's vectors and chunk of its queries, however many there are: none meets another's rows
+    tasks = sum(int(n.sum()) for n in sizes.values())
+    free, held = slots(classes.sparkSession, max(tasks, 1)), {}
+    for s, n in sizes.items():
+        first[s] = np.cumsum(n) - n
+        slot_of[s], free = np.asarray(free[: n.sum()], np.int32), free[n.sum() :]
+        for shard, (at, m) in enumerate(zip(first[s], n)):
+            held |= {int(v): (s, k % int(routers[s].chunks[shard])) for k, v in enumerate(slot_of[s][at : at + m])}
 
     def one(key, data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"space": [], "id": [], "neighbour": [], "cos": []})
-        router = routers[key[0]]
+        (space, chunk), inner = held[key[0]], 1.0 if least > 0 else factor
+        router = routers[space]
         x, ids = matrix(data["vec"]), data["id"].to_numpy(np.int64)
         q, qid, radius = matrix(ask["vec"]), ask["id"].to_numpy(np.int64), ask["radius"].to_numpy(np.float64)
-        if itself is not None and key[3] == 0:
+        if itself is not None and chunk == 0:
             q, qid, radius = np.concatenate([q, x]), np.concatenate([qid, ids]), np.concatenate([radius, np.full(len(x), itself)])
         if not len(x) or not len(q):
             return none
@@ -261,20 +294,14 @@ def _search(classes: DataFrame, asked: DataFrame, routers: dict[str, Router], k:
                         if c not in trees:
                             at = np.flatnonzero(cell == c)
                             trees[c] = VantageTree(x[at], ids[at])
-                        trees[c].search(q, qid, top, mine, factor)
+                        trees[c].search(q, qid, top, mine, inner)
         good = top.id >= 0
         r, _ = np.nonzero(good)
-        return pd.DataFrame({"space": key[0], "id": qid[r], "neighbour": top.id[good], "cos": top.cos[good].astype(np.float64)})
-
-    keys = ["space", "shard", "part", "chunk"]
-    left = held.mapInArrow(place(0), schema).groupBy(*keys)
-    return left.cogroup(asked.select("space", "id", "vec", "radius").mapInArrow(place(1), schema).groupBy(*keys)).applyInPandas(one, "space string, id long, neighbour long, cos double")
-
+        return pd.DataFrame({"space": space, "id": qid[r], "neighbour": top.id[good], "cos": top.cos[good].astype(np.float64)})
 
-def _loads(held: DataFrame, asked: DataFrame, place, schema: str) -> list:
-    """Vectors and queries that each shard will get: one row per shard and role."""
-    parts = [d.mapInArrow(place(i), schema).select("space", "shard", F.lit(i).alias("role")) for i, d in enumerate((held, asked.select("space", "id", "vec", "radius")))]
-    return parts[0].unionByName(parts[1]).groupBy("space", "shard", "role").agg(F.count(F.lit(1)).alias("n")).collect()
+    schema = "slot int, id long, vec binary, radius double"
+    left, right = (d.mapInArrow(place(i), schema).repartition(max(tasks, 1), "slot").groupBy("slot") for i, d in enumerate(sides))
+    return left.cogroup(right).applyInPandas(one, "space string, id long, neighbour long, cos double")
 
 
 def _expanded(found: DataFrame, members: DataFrame, askers: DataFrame | None, k: int) -> DataFrame:
@@ -296,14 +323,14 @@ SPACES = {"text": "text_vec", "visual": "visual_vec"}
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of points of a cosine of at least 0.95 among each other's five nearest."""
-    points = usable(read(spark, sf_dir, "vector_point"), SPACES)
+    points = cut(usable(read(spark, sf_dir, "vector_point"), SPACES))
     near = nearest(points, None, list(SPACES), 5, least_cos=0.95)
     return near.select("space", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every point whose id is divisible by 100, against all points."""
-    points = usable(read(spark, sf_dir, "vector_point"), SPACES)
+    points = cut(usable(read(spark, sf_dir, "vector_point"), SPACES))
     return nearest(points, points.filter("id % 100 = 0"), list(SPACES), 10)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetspark.llm import clusters, history, neighbours, quantiles, subset, survivor
+from facetspark.llm import clusters, history, neighbours, quantiles, recall, subset, survivor
 from facetspark.llm.vectors import usable
 
 H = "ab" * 32
@@ -242,3 +242,31 @@ def test_rest_with_many_links(spark, monkeypatch):
     monkeypatch.setattr(clusters, "CORE", 2.0)  # nothing is a ball
     x = np.concatenate([_clustered(9, groups=1, each=250, alone=20), _chain(clumps=3)])
     assert _linked(spark, x) == _whole(x)
+
+
+def test_trees_split_and_prune():
+    x = _clustered(11, groups=10, each=40, alone=100)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids, cos = np.arange(len(x)), x @ x.T
+    np.fill_diagonal(cos, -2)
+    want = {(i, j) for i in ids for j in np.argsort(-cos[i], kind="stable")[:5]}
+    for factor, least in ((1.0, 1.0), (neighbours.FACTOR, 0.9)):
+        tree, top = neighbours.VantageTree(x, ids), neighbours.Top(len(x), 5, -1.0)
+        tree.search(x, ids, top, ids, factor)
+        got = {(int(i), int(j)) for i in ids for j in top.id[i]}
+        assert tree.splits >= len(x) // neighbours.LEAF - 1 and len(got & want) >= least * len(want)
+        assert tree.compared + tree.pruned == len(x) ** 2
+    assert tree.pruned > len(x) ** 2 // 2
+
+
+def test_recall_with_a_third_in_one_group(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 64)
+    monkeypatch.setattr(neighbours, "ASKED", 100)
+    x = np.concatenate([_clustered(12, groups=1, each=200, alone=0), _clustered(13, groups=20, each=12, alone=160)])
+    points = usable(_table(spark, x), {"s": "v"})
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    found = {}
+    for r in neighbours.nearest(points, None, ["s"], 10).collect():
+        found.setdefault(r.id, []).append((r.neighbour, r.cos))
+    good, wanted = recall.recall(found, u, np.arange(1, len(x) + 1), 10)
+    assert wanted == 10 * len(x) and good >= 0.9 * wanted
