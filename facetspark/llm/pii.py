@@ -1,11 +1,12 @@
 """Personal information in free text, found by a linear-chain conditional random field and masked.
 
-Texts are searched whole for cues (an at sign however written, digit groups shaped like a phone or identity number,
-capitalised pairs, street words, words that introduce a name); around each cue a stretch of its line, and two more
-lines where an address may go on, is cut into tokens. The field labels tokens B or I of a kind, or O, from features
-of the token and its neighbours: the word, its shape, its ending, and whether a pattern of addresses or numbers
-covers it. It is trained in numpy from a small labelled table and decoded by Viterbi in batches. A mention of an
-e-mail address or number is then checked against its pattern, which also fixes its ends.
+Every line of every text is cut into tokens, which the field labels B or I of a kind, or O, from features of the token
+and its neighbours: the word, its shape and ending, whether a public vocabulary holds it in lower case or only as a
+name, the gap before it, and the shape of the unbroken run it stands in. It is trained in numpy from a small labelled
+table and decoded by Viterbi in batches. Digits count by their number only, so lines that differ in digits alone are
+decoded once a batch. Lines near one with an address are decoded again together with it, since addresses run over
+lines. A mention's ends are the field's; a check that follows only drops what can't be one (a phone number of five
+digits, a name of one part) and marks at its edges.
 
 Defined cases: a null or empty text has no mention and stays as it is; positions count characters; repeated rows
 are searched each; very long texts and lines are searched whole; an empty table gives no rows; ``mask`` keeps all
@@ -14,6 +15,8 @@ other columns, whatever their names.
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,55 +28,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .packing import TOKENIZER
 from .pii_labels import KINDS, labelled_rows
 
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
-N_LABELS, BITS = len(LABELS), 16
-_AT = r"(?:@| @ | ?\[at\] ?| ?\(at\) ?|%40|&#64;|&#x40;)"
-_DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?)"
-PATTERNS = {
-    "email": re.compile(rf"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9_])?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w-])", re.I),
-    "phone": re.compile(r"(?<![\w.+/-])(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,10}){1,6}|00\d\d(?: \d{2,5}){2,5}|\(\d{3}\) ?\d{3}[ -]\d{4}|\d{3}([-. ])\d{3}\1\d{4}|0\d{4} \d{6}|0\d([. ])\d\d(?:\2\d\d){3}|0\d{2,4}[ /-]\d{5,8}|\(0\d{1,4}\) ?\d{3,4} ?\d{4}|1\d{10})(?![\w]|[.-]\d)"),
-    "idnum": re.compile(r"(?<![\w.+-])(?:\d{3}([- ])\d\d\1\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]{1,2}\d{7}|\d{17}[\dXx]|\d{8}[A-Z])(?![\w-]|\.\d)"),
-}
-_UP = r"[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪİĶĹĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŹŻŽ]"
-_STREET = r"St|Street|Rd|Road|Lane|Ln|Way|Court|Ct|Avenue|Ave|Drive|Dr|Close|Row|Square|Sq|Terrace|Place|Hill|Walk|Gate|Mews"
-ADDRESS = re.compile(
-    rf"\b(?:Flat|Unit|Apt)\.? \d|\b\d+[a-zA-Z]? (?:{_UP}[\w'’]*[ ]){{1,4}}(?:{_STREET})\b|\bZZ \d{{5}}|\b\d{{5}} {_UP}|\bQX\d|[市路街巷道]\d+号|号|(?:\bCalle|\bC/|\bAvda|\bAvenida|\bPlaza|\bPaseo|\bCamino)[. ]|(?:weg|straße|str\.|strasse|platz|winkel|gasse|allee|speicher|schmiede|kirche|anger) \d",
-)
-CUE = re.compile(
-    rf"@|%40|[\[(]at[\])]|&#(?:64|x40);|(?<![\w.+/-])\+\d|(?<![\w.])(?:00\d\d |0\d{{4}} \d|0\d[. ]\d\d[. ]|0\d\d[ /-]\d|\(\d{{2,4}}\) ?\d|\d{{3}}[-. ]\d{{2,3}}[-. ]\d{{4}}|[A-Z]{{2}} ?\d\d ?\d\d|[A-Z]{{1,2}}\d{{7}}|\d{{17}}[\dXx]\b|\d{{8}}[A-Z]\b|1\d{{10}}\b)"
-    rf"|{ADDRESS.pattern}|\b{_UP}[\w'’.-]*,? {_UP}|\b(?:ask|for|Author|Reviewed by|record of|Contact|Thanks to|thank|von|recogió|notes|stammen|encuestada|taken by|belongs to|Maintainer):?\*? [^\W\d_]+,? [^\W\d_]|'?name'?\"?: |登记人|联系人|由 ?[一-鿿]{{2,5}} |[一-鿿]{{2,4}} <|^\d+   [^\W\d_]",
-    re.M,
-)
-TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+|\d+|[^\w\s]|_|\n")
-BEFORE, AFTER, LINE = 120, 160, 300
+N_LABELS, BITS, ROWS = len(LABELS), 17, 12_000
+TOKEN = re.compile(r"[A-Za-z0-9+/=]{60,}|[一-鿿]|[^\W\d_一-鿿]+|\d+|[^\w\s]|_")
+RUN = re.compile(r"\S+|\n")
 #: Tokens, padding included, that are decoded together; a longer stretch is decoded alone.
 PADDED = 1 << 18
+#: Lines above and below one with an address that are decoded with it.
+ABOVE, BELOW = 2, 3
+_DIGITS = str.maketrans("0123456789", "9" * 10)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around cues, in order and apart."""
-    out: list[list[int]] = []
-    at, n = 0, len(text)
-    while (m := CUE.search(text, at)) is not None:
-        s, e = m.span()
-        a = text.rfind("\n", max(0, s - LINE), s) + 1 or (0 if s <= LINE else max(0, s - BEFORE))
-        b = text.find("\n", e, e + LINE)
-        whole = b >= 0
-        b = b if whole else min(n, e + AFTER)
-        if ADDRESS.search(text, max(a, s - 40), min(b, e + 40)):
-            up = text.rfind("\n", max(0, a - 60), a - 1) if a and text[a - 1] == "\n" else -1
-            a = up + 1 if up >= 0 else a
-            for _ in range(2):
-                more = text.find("\n", b + 1, b + 80) if b < n and text[b] == "\n" else -1
-                b = more if more > b + 1 else min(n, b + 80) if b < n and n - b < 80 and "\n" not in text[b + 1 :] else b
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-        at = max(e, b) if whole else e  # on a long line a cue before the cut moves it on
-    return [(a, b) for a, b in out]
+@cache
+def common_words(path: str = TOKENIZER) -> tuple[frozenset[str], frozenset[str]]:
+    """(words in lower case, words with a capital) of a public vocabulary; empty if there is no such file."""
+    if not os.path.exists(path):
+        return frozenset(), frozenset()
+    with open(path, "rb") as lines:
+        entries = [base64.b64decode(line.split()[0]) for line in lines]
+    said = [e[1:].decode() for e in entries if len(e) > 2 and e[:1] == b" " and e[1:].isalpha() and e.isascii()]
+    return frozenset(w for w in said if w.islower()), frozenset(w for w in said if w.istitle())
 
 
 def _mix(x: np.ndarray, k: int) -> np.ndarray:
@@ -82,55 +59,76 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(8)).astype(np.int64) & ((1 << BITS) - 1)
 
 
-_seen: dict[str, tuple[int, int, int]] = {}
+def _hash(s: str) -> int:
+    return zlib.crc32(s.encode())
+
+
+class Lexer:
+    """Tokens of a stretch and their hashed properties; unbroken runs that were seen before cost one look-up."""
+
+    WORD, SHAPE, ENDING, KNOWN, RUN = range(5)
 
+    def __init__(self, lower: frozenset[str], capital: frozenset[str]):
+        self.lower, self.capital, self.seen = lower, capital, {}
 
-def _word(w: str) -> tuple[int, int, int]:
-    """Hashes of the word, its shape and its ending."""
-    got = _seen.get(w)
-    if got is None:
-        low = w.lower()
-        if w.isdigit():
-            shape, word, tail = f"9{min(len(w), 9)}", w if len(w) < 3 else "9" * len(w), ""
+    def _token(self, w: str) -> tuple[int, int, int, int]:
+        if w[0].isdigit():
+            word = shape = "9" * min(len(w), 20)
+            tail, known = "", "d"
+        elif not w[0].isalpha():
+            word = shape = w
+            tail, known = "", "z"
+        elif len(w) >= 60:
+            word = shape = "blob"
+            tail, known = "", "b"
         else:
-            kind = "U" if w.isupper() and len(w) > 1 else "C" if w[0].isupper() else "l" if w[0].islower() else "z" if "一" <= w[0] <= "鿿" else w[0]
-            shape, word, tail = kind + str(min(len(w), 4)), low, low[-3:] if len(w) > 3 else ""
-        got = tuple(zlib.crc32(s.encode()) for s in (word, shape + "s", tail + "t"))
-        if len(_seen) < 300_000:
-            _seen[w] = got
-    return got
-
-
-def prepare(text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(token spans, tokens, pattern flags) of a stretch."""
-    spans, tokens = [], []
-    for m in TOKEN.finditer(text):
-        spans.append(m.span())
-        tokens.append(m.group())
-    where = np.asarray(spans, np.int64).reshape(-1, 2)
-    flags = np.zeros(len(tokens), np.int64)
-    for k, p in enumerate(PATTERNS.values()):
-        for m in p.finditer(text):
-            inside = np.flatnonzero((where[:, 0] >= m.start()) & (where[:, 1] <= m.end()))
-            if len(inside):
-                flags[inside] = 2 * k + 2
-                flags[inside[0]] = 2 * k + 1
-    for m in ADDRESS.finditer(text):
-        inside = (where[:, 1] > m.start()) & (where[:, 0] < m.end()) & (flags == 0)
-        flags[inside] = 9
-    return where, tokens, flags
-
-
-def features(tokens: list[list[str]], flags: list[np.ndarray]) -> np.ndarray:
+            low = w.lower()
+            known = f"{low in self.lower:d}{low.title() in self.capital:d}"
+            shape = "z" if "一" <= w[0] <= "鿿" else ("U" if w.isupper() else "M" if not w[1:].islower() and len(w) > 1 else "C" if w[0].isupper() else "l") + str(min(len(w), 4))
+            word = low if known[0] == "1" or shape[0] in "lz" or len(w) == 1 else f"<{known}>"
+            tail = low[-3:] if len(w) > 3 else ""
+        return _hash("w" + word), _hash("s" + shape), _hash("t" + tail), _hash("k" + known + shape[0])
+
+    def _run(self, run: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """(spans in the run, properties) of a run's tokens."""
+        spans = [m.span() for m in TOKEN.finditer(run)]
+        bare = run.strip("'\"<>[]{}*|:;=,.，。：；、“”「」")
+        bare = bare[1:-1] if bare[:1] == "(" and bare[-1:] == ")" else bare.lstrip("(") if ")" not in bare else bare.rstrip(")") if "(" not in bare else bare
+        form = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group()[0].isupper() else "a", bare) if len(bare) < 60 and re.search(r"[\d@\[(&%]", bare) else ""
+        rows = [(*self._token(run[a:b]), _hash(f"r{form}{'<' if not i else '-'}")) for i, (a, b) in enumerate(spans)]
+        return spans, np.asarray(rows, np.int64).reshape(-1, 5)
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(spans, properties, the last of which is the gap before a token)."""
+        where, props, end = [], [], 0
+        for m in RUN.finditer(text):
+            run, a = m.group(), m.start()
+            if run == "\n":
+                spans, rows = [(0, 1)], np.asarray([[_hash(k + "\n") for k in "wstkr"]], np.int64)
+            else:
+                got = self.seen.get(run)
+                if got is None:
+                    got = self._run(run)
+                    if len(self.seen) < 200_000 and len(run) < 200:
+                        self.seen[run] = got
+                spans, rows = got
+            if spans:
+                gap = np.zeros((len(rows), 1), np.int64)
+                gap[0] = 1 if not a else min(a - end, 2) + 1
+                where += [(a + x, a + y) for x, y in spans]
+                props.append(np.concatenate([rows, gap], axis=1))
+                end = m.end()
+        return np.asarray(where, np.int64).reshape(-1, 2), np.concatenate(props) if props else np.empty((0, 6), np.int64)
+
+
+def features(props: list[np.ndarray]) -> np.ndarray:
     """Feature columns of all tokens of several stretches, (tokens, features); neighbours stop at a stretch's ends."""
-    n = sum(map(len, tokens))
-    base = np.fromiter((h for ts in tokens for w in ts for h in _word(w)), np.int64, 3 * n).reshape(n, 3)
-    flag = np.concatenate(flags) if flags else np.empty(0, np.int64)
-    w, s, u = base[:, 0], base[:, 1], base[:, 2]
-    part = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-
-    def shift(x: np.ndarray, d: int) -> np.ndarray:
-        out = np.full(n, 7 + abs(d), np.int64)
+    base = np.concatenate(props) if props else np.empty((0, 6), np.int64)
+    n, part = len(base), np.repeat(np.arange(len(props)), [len(p) for p in props])
+    w, s, u, c, r, g = base.T
+
+    def at(x: np.ndarray, d: int) -> np.ndarray:
+        out = np.full(n, 7 + d, np.int64)
         if n > abs(d):
             same = part[abs(d) :] == part[: -abs(d)]
             if d < 0:
@@ -139,9 +137,12 @@ def features(tokens: list[list[str]], flags: list[np.ndarray]) -> np.ndarray:
                 out[:-d] = np.where(same, x[d:], 7 + d)
         return out
 
-    w1, w2, wn, wm, s1, s2, sn, sm, f1, fn = shift(w, -1), shift(w, -2), shift(w, 1), shift(w, 2), shift(s, -1), shift(s, -2), shift(s, 1), shift(s, 2), shift(flag, -1), shift(flag, 1)
-    columns = [w, s, u, w1, wn, s1, sn, w2, wm, s1 * 31 + s, s * 31 + sn, w1 * 31 + s, wn * 37 + s, s2 * 61 + s1 * 31 + s, s * 61 + sn * 31 + sm, w2 * 31 + w1, flag, flag * 64 + f1, flag * 64 + fn, flag * 1009 + w1, u * 31 + s1, shift(u, -1) * 31 + s]
-    return np.stack([_mix(np.abs(c), k) for k, c in enumerate(columns)], axis=1)
+    w1, w2, v1, v2 = at(w, -1), at(w, -2), at(w, 1), at(w, 2)
+    s1, s2, t1, t2 = at(s, -1), at(s, -2), at(s, 1), at(s, 2)
+    c1, d1, r1, q1, h1 = at(c, -1), at(c, 1), at(r, -1), at(r, 1), at(g, 1)
+    columns = [w, s, u, c, w1, v1, w2, v2, s1 * 31 + s, s * 31 + t1, s2 * 61 + s1 * 31 + s, s * 61 + t1 * 31 + t2, w1 * 31 + s, v1 * 37 + s, w2 * 31 + w1, v1 * 31 + v2]
+    columns += [c1 * 31 + c, c * 31 + d1, c1 * 61 + c * 31 + d1, c * 61 + d1 * 31 + at(c, 2), r, r * 31 + r1, r * 31 + q1, r * 31 + w1, u * 31 + c, at(u, -1) * 31 + c, at(u, 1) * 31 + c, s * 61 + g * 7 + h1, g * 31 + c1 * 61 + c, at(w, -3), at(s, 3) * 31 + s]
+    return np.stack([_mix(np.abs(x), k) for k, x in enumerate(columns)], axis=1)
 
 
 class Field:
@@ -150,11 +151,11 @@ class Field:
     def __init__(self, weights: np.ndarray, step: np.ndarray):
         self.weights, self.step = weights, step
 
-    def decode(self, tokens: list[list[str]], flags: list[np.ndarray]) -> list[np.ndarray]:
-        """Best label sequence of each stretch; stretches of like length are decoded together."""
+    def decode(self, tokens: list[np.ndarray]) -> list[np.ndarray]:
+        """Best label sequence of each stretch, given its tokens' properties; stretches of like length are decoded together."""
         if not tokens:
             return []
-        x = features(tokens, flags)
+        x = features(tokens)
         length = np.asarray([len(t) for t in tokens])
         score = np.zeros((len(x), N_LABELS), np.float32)
         for k in range(x.shape[1]):
@@ -193,11 +194,11 @@ class Field:
         return out
 
     @classmethod
-    def train(cls, rows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 6, rate: float = 0.15, decay: float = 1e-5, seed: int = 3) -> Field:
+    def train(cls, lexer: Lexer, rows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 6, rate: float = 0.15, decay: float = 1e-5, seed: int = 3) -> Field:
         """Stochastic gradient of the conditional log-likelihood (forward-backward) with per-weight step sizes."""
-        tokens, flags, gold = [], [], []
+        tokens, gold = [], []
         for text, marks in rows:
-            where, ts, fl = prepare(text)
+            where, ts = lexer(text.translate(_DIGITS))
             y = np.zeros(len(ts), np.int64)
             for kind, a, b in marks:
                 inside = np.flatnonzero((where[:, 0] >= a) & (where[:, 1] <= b))
@@ -205,9 +206,8 @@ class Field:
                 y[inside[:1]] -= 1
             if len(ts):
                 tokens.append(ts)
-                flags.append(fl)
                 gold.append(y)
-        x = features(tokens, flags)
+        x = features(tokens)
         length = np.asarray([len(t) for t in tokens])
         start, y_all = np.cumsum(length) - length, np.concatenate(gold)
         nf, rng = x.shape[1], np.random.default_rng(seed)
@@ -259,9 +259,14 @@ class Field:
 
 
 @cache
-def field(n_rows: int = 6000) -> Field:
-    """The field trained from the labelled table of n_rows rows: the documented bound of its training set."""
-    return Field.train(labelled_rows(n_rows))
+def field(n_rows: int = ROWS, path: str = TOKENIZER) -> tuple[Field, Lexer]:
+    """The field trained from the labelled table of n_rows rows, the documented bound of its training set, and its lexer."""
+    lower, capital = common_words(path)
+    lexer = Lexer(lower, capital)
+    some = sorted(w for w in lower if 3 < len(w) < 10)
+    model = Field.train(lexer, labelled_rows(n_rows, words=some))
+    lexer.seen = {}
+    return model, lexer
 
 
 def _spans(where: np.ndarray, labels: np.ndarray) -> Iterator[tuple[str, int, int]]:
@@ -277,56 +282,101 @@ def _spans(where: np.ndarray, labels: np.ndarray) -> Iterator[tuple[str, int, in
         t = u
 
 
-_TITLE = re.compile(r"^(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herr|Sr|Sra)\.? +", re.I)
-_EDGE = " \t\n'\"“”‘’«»<>()[]{}*|:;=，。：；、"
+_AT = re.compile(r"@|%40|&#(?:64|x40);|[\[( ]at[\]) ]", re.I)
+_DOT = re.compile(r"\.|[\[( ]dot[\]) ]", re.I)
+_EDGE = " \t\n'\"“”‘’«»<>[]{}*|:;=，。：；、,"
+
+
+def trimmed(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
+    """The field's span without marks at its edges, or null if it can't be a mention of its kind."""
+    while s < e and text[s] in _EDGE + ".-":
+        s += 1
+    while e > s and text[e - 1] in _EDGE + "-":
+        e -= 1
+    if e > s and text[e - 1] == "." and not (kind == "person" and re.search(r"\b[^\W\d_]\.$", text[s:e])):
+        e -= 1
+    if text[s:e].count("(") != text[s:e].count(")"):
+        s, e = (s + 1, e) if text[s:e].startswith("(") else (s, e - 1) if text[s:e].endswith(")") else (s, e)
+    said = text[s:e]
+    digits = sum(map(str.isdigit, said))
+    if kind == "email":
+        m = _AT.search(said)
+        ok = m is not None and m.start() > 0 and _DOT.search(said, m.end()) is not None
+    elif kind == "phone":
+        ok = 7 <= digits <= 15
+    elif kind == "idnum":
+        ok = digits >= 6 and len(said) <= 24
+    elif kind == "address":
+        ok = digits > 0 and bool(re.search(r"[^\W\d_]{2}", said))
+    else:
+        ok = digits == 0 and not re.search(r"[|=\n]", said) and bool(re.search(r"[^\W\d_]\W+[^\W\d_]|^[一-鿿]{2,5}$", said))
+    return (s, e) if ok and s < e else None
+
+
+def _labelled(stretches: list[str], model: Field, lexer: Lexer) -> dict[str, list[tuple[str, int, int]]]:
+    """The field's spans of distinct stretches (digits already alike)."""
+    out, held, size = {}, [], 0
+
+    def run() -> None:
+        for (text, where, _), labels in zip(held, model.decode([p for _, _, p in held])):
+            out[text] = list(_spans(where, labels)) if labels.any() else []
+
+    for text in stretches:
+        where, props = lexer(text)
+        if len(props):
+            held.append((text, where, props))
+            size += len(props)
+        else:
+            out[text] = []
+        if size > PADDED:
+            run()
+            held, size = [], 0
+    run()
+    return out
 
 
-def mentions(texts: list[str | None], model: Field) -> list[list[tuple[str, int, int]]]:
+def mentions(texts: list[str | None], trained: tuple[Field, Lexer]) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of every mention of each text, in order."""
-    owner, offset, wheres, tokens, flags, pieces = [], [], [], [], [], []
-    for i, text in enumerate(texts):
-        for a, b in stretches(text) if text else []:
-            where, ts, fl = prepare(text[a:b])
-            if ts:
-                owner.append(i)
-                offset.append(a)
-                wheres.append(where)
-                tokens.append(ts)
-                flags.append(fl)
-                pieces.append(text[a:b])
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, a, where, piece, labels in zip(owner, offset, wheres, pieces, model.decode(tokens, flags)):
-        taken: list[tuple[int, int]] = []
-        for kind, s, e in _spans(where, labels):
-            if kind in PATTERNS:
-                hit = next((m.span() for m in PATTERNS[kind].finditer(piece) if m.start() < e and m.end() > s), None)
-                if hit is None:
-                    continue
-                s, e = hit
+    model, lexer = trained
+    lines = [t.translate(_DIGITS).split("\n") if t else [] for t in texts]
+    found = _labelled(list(dict.fromkeys(x for ls in lines for x in ls)), model, lexer)
+    placed = {x for x, spans in found.items() if any(k == "address" for k, _, _ in spans)}
+    windows: list[list[tuple[int, int]]] = []
+    for ls in lines:
+        mine: list[tuple[int, int]] = []
+        for i, x in enumerate(ls):
+            if x in placed:
+                a, b = i, i + 1
+                while a > max(0, i - ABOVE) and ls[a - 1].strip():
+                    a -= 1
+                while b < min(len(ls), i + 1 + BELOW) and ls[b].strip():
+                    b += 1
+                if mine and a < mine[-1][1]:
+                    a = mine.pop()[0]
+                mine.append((a, b))
+        windows.append(mine)
+    joint = lambda ls, a, b: "\n".join(ls[a:b])
+    again = _labelled(list(dict.fromkeys(joint(ls, a, b) for ls, mine in zip(lines, windows) for a, b in mine)), model, lexer)
+    out: list[list[tuple[str, int, int]]] = []
+    for text, ls, mine in zip(texts, lines, windows):
+        got, i, at, todo = [], 0, 0, iter([*mine, (len(ls), len(ls))])
+        a, b = next(todo)
+        while i < len(ls):
+            if i == a:
+                piece, spans = joint(ls, a, b), again[joint(ls, a, b)]
+                i, (a, b) = b, next(todo)
             else:
-                while s < e and piece[s] in _EDGE + ",.-":
-                    s += 1
-                while e > s and piece[e - 1] in _EDGE + (",-" if kind == "person" else ",.-"):
-                    e -= 1
-                if kind == "person":
-                    if m := _TITLE.match(piece[s:e]):
-                        s += m.end()
-                    bare = piece[s:e]
-                    if not (re.search(r"[^\W\d_]\W+[^\W\d_]", bare) or re.fullmatch(r"[一-鿿]{2,5}", bare)) or re.search(r"\d|\n", bare):
-                        continue
-                    if bare.endswith(".") and not re.search(rf"\b{_UP}\.$", bare):
-                        e -= 1
-                elif not re.search(r"\d", piece[s:e]):
-                    continue
-                elif m := re.search(r"\b(?:Flat|Unit|Apt)\.? $", piece[:s]):
-                    s = m.start()
-            if s < e and not any(s < y and e > x for x, y in taken):
-                taken.append((s, e))
-                out[i].append((kind, a + s, a + e))
+                piece, spans = ls[i], found[ls[i]]
+                i += 1
+            for kind, s, e in spans:
+                if (cut := trimmed(text, kind, at + s, at + e)) is not None and not (got and cut[0] < got[-1][2]):
+                    got.append((kind, *cut))
+            at += len(piece) + 1
+        out.append(got)
     return out
 
 
-def find(df: DataFrame, row_id: str, text: str, n_rows: int = 6000) -> DataFrame:
+def find(df: DataFrame, row_id: str, text: str, n_rows: int = ROWS) -> DataFrame:
     """(id, pii_kind, start_pos, end_pos): one row for each mention."""
     held = df.sparkSession.sparkContext.broadcast(field(n_rows))
 
@@ -352,7 +402,7 @@ def mask_text(text: str | None, found: list[tuple[str, int, int]]) -> str | None
     return "".join([*out, text[last:]])
 
 
-def mask(df: DataFrame, text: str, out: str, n_rows: int = 6000) -> DataFrame:
+def mask(df: DataFrame, text: str, out: str, n_rows: int = ROWS) -> DataFrame:
     """``df`` with column ``out``: the text with typed placeholders, all else unchanged."""
     held = df.sparkSession.sparkContext.broadcast(field(n_rows))
 
