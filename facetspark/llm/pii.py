@@ -303,7 +303,7 @@ def trimmed(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
         m = _AT.search(said)
         ok = m is not None and m.start() > 0 and _DOT.search(said, m.end()) is not None
     elif kind == "phone":
-        ok = 7 <= digits <= 15
+        ok = 7 <= digits <= 15 and not re.fullmatch(r"[1-9]\d?(?:[ ,]\d{3}){2,}", said)  # that is a grouped number
     elif kind == "idnum":
         ok = digits >= 6 and len(said) <= 24
     elif kind == "address":
