@@ -37,6 +37,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/=]{60,}|[一-鿿]|[^\W\d_一-鿿]+|\d+|[^\w\s]|
 RUN = re.compile(r"\S+|\n")
 #: Tokens, padding included, that are decoded together; a longer stretch is decoded alone.
 PADDED = 1 << 18
+#: Characters of text searched at once: lines that repeat there are decoded once.
+CHARS = 8_000_000
 #: Lines above and below one with an address that are decoded with it.
 ABOVE, BELOW = 2, 3
 _DIGITS = str.maketrans("0123456789", "9" * 10)
@@ -66,10 +68,16 @@ def _hash(s: str) -> int:
 class Lexer:
     """Tokens of a stretch and their hashed properties; unbroken runs that were seen before cost one look-up."""
 
-    WORD, SHAPE, ENDING, KNOWN, RUN = range(5)
+    #: Runs kept before all are forgotten.
+    KEPT = 300_000
 
     def __init__(self, lower: frozenset[str], capital: frozenset[str]):
-        self.lower, self.capital, self.seen = lower, capital, {}
+        self.lower, self.capital = lower, capital
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[str, tuple[list[int], list[int], list[int]]] = {}
+        self.table, self.n = np.empty((1024, 5), np.int64), 0
 
     def _token(self, w: str) -> tuple[int, int, int, int]:
         if w[0].isdigit():
@@ -89,36 +97,50 @@ class Lexer:
             tail = low[-3:] if len(w) > 3 else ""
         return _hash("w" + word), _hash("s" + shape), _hash("t" + tail), _hash("k" + known + shape[0])
 
-    def _run(self, run: str) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """(spans in the run, properties) of a run's tokens."""
-        spans = [m.span() for m in TOKEN.finditer(run)]
-        bare = run.strip("'\"<>[]{}*|:;=,.，。：；、“”「」")
-        bare = bare[1:-1] if bare[:1] == "(" and bare[-1:] == ")" else bare.lstrip("(") if ")" not in bare else bare.rstrip(")") if "(" not in bare else bare
-        form = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group()[0].isupper() else "a", bare) if len(bare) < 60 and re.search(r"[\d@\[(&%]", bare) else ""
-        rows = [(*self._token(run[a:b]), _hash(f"r{form}{'<' if not i else '-'}")) for i, (a, b) in enumerate(spans)]
-        return spans, np.asarray(rows, np.int64).reshape(-1, 5)
+    def _run(self, run: str) -> tuple[list[int], list[int], list[int]]:
+        """(rows of the table, starts, ends) of a run's tokens."""
+        if run == "\n":
+            spans, rows = [(0, 1)], [tuple(_hash(k + "\n") for k in "wstkr")]
+        else:
+            spans = [m.span() for m in TOKEN.finditer(run)]
+            bare = run.strip("'\"<>[]{}*|:;=,.，。：；、“”「」")
+            bare = bare[1:-1] if bare[:1] == "(" and bare[-1:] == ")" else bare.lstrip("(") if ")" not in bare else bare.rstrip(")") if "(" not in bare else bare
+            form = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group()[0].isupper() else "a", bare) if len(bare) < 60 and re.search(r"[\d@\[(&%]", bare) else ""
+            first, later = _hash(f"r{form}<"), _hash(f"r{form}-")
+            rows = [(*self._token(run[a:b]), later if i else first) for i, (a, b) in enumerate(spans)]
+        if self.n + len(rows) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty((max(len(self.table), len(rows)), 5), np.int64)])
+        if rows:
+            self.table[self.n : self.n + len(rows)] = rows
+        got = list(range(self.n, self.n + len(rows))), [a for a, _ in spans], [b for _, b in spans]
+        self.n += len(rows)
+        self.seen[run] = got
+        return got
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(spans, properties, the last of which is the gap before a token)."""
-        where, props, end = [], [], 0
+        at, starts, ends, gaps, end, seen = [], [], [], [], 0, self.seen
+        if len(seen) > self.KEPT:
+            self.clear()
+            seen = self.seen
         for m in RUN.finditer(text):
-            run, a = m.group(), m.start()
-            if run == "\n":
-                spans, rows = [(0, 1)], np.asarray([[_hash(k + "\n") for k in "wstkr"]], np.int64)
-            else:
-                got = self.seen.get(run)
-                if got is None:
-                    got = self._run(run)
-                    if len(self.seen) < 200_000 and len(run) < 200:
-                        self.seen[run] = got
-                spans, rows = got
-            if spans:
-                gap = np.zeros((len(rows), 1), np.int64)
-                gap[0] = 1 if not a else min(a - end, 2) + 1
-                where += [(a + x, a + y) for x, y in spans]
-                props.append(np.concatenate([rows, gap], axis=1))
-                end = m.end()
-        return np.asarray(where, np.int64).reshape(-1, 2), np.concatenate(props) if props else np.empty((0, 6), np.int64)
+            a, b = m.span()
+            got = seen.get(m.group()) or self._run(m.group())
+            rows, s, e = got
+            if rows:
+                gaps.append(1 if not a else 3 if a - end > 1 else a - end + 1)
+                if len(rows) == 1:
+                    at.append(rows[0])
+                    starts.append(a + s[0])
+                    ends.append(a + e[0])
+                else:
+                    at += rows
+                    starts += [a + x for x in s]
+                    ends += [a + x for x in e]
+                    gaps += [0] * (len(rows) - 1)
+                end = b
+        where = np.asarray([starts, ends], np.int64).T.reshape(-1, 2)
+        return where, np.concatenate([self.table[at], np.asarray(gaps, np.int64)[:, None]], axis=1) if at else np.empty((0, 6), np.int64)
 
 
 def features(props: list[np.ndarray]) -> np.ndarray:
@@ -265,7 +287,7 @@ def field(n_rows: int = ROWS, path: str = TOKENIZER) -> tuple[Field, Lexer]:
     lexer = Lexer(lower, capital)
     some = sorted(w for w in lower if 3 < len(w) < 10)
     model = Field.train(lexer, labelled_rows(n_rows, words=some))
-    lexer.seen = {}
+    lexer.clear()
     return model, lexer
 
 
@@ -303,7 +325,7 @@ def trimmed(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
         m = _AT.search(said)
         ok = m is not None and m.start() > 0 and _DOT.search(said, m.end()) is not None
     elif kind == "phone":
-        ok = 7 <= digits <= 15 and not re.fullmatch(r"[1-9]\d?(?:[ ,]\d{3}){2,}", said)  # that is a grouped number
+        ok = 7 <= digits <= 15 and not re.fullmatch(r"[1-9]\d?(?:[\s,]\d{3}){2,}", said)  # that is a grouped number
     elif kind == "idnum":
         ok = digits >= 6 and len(said) <= 24
     elif kind == "address":
@@ -376,16 +398,27 @@ def mentions(texts: list[str | None], trained: tuple[Field, Lexer]) -> list[list
     return out
 
 
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHARS characters, or of one longer text."""
+    a = size = 0
+    for b, t in enumerate(texts):
+        if size and size + len(t or "") > CHARS:
+            yield a, b
+            a, size = b, 0
+        size += len(t or "")
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def find(df: DataFrame, row_id: str, text: str, n_rows: int = ROWS) -> DataFrame:
     """(id, pii_kind, start_pos, end_pos): one row for each mention."""
     held = df.sparkSession.sparkContext.broadcast(field(n_rows))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a : a + 500]
-                found = mentions(part["__text"].tolist(), held.value)
-                rows = [(i, *m) for i, ms in zip(part["__id"], found) for m in ms]
+            ids, texts = pdf["__id"].tolist(), pdf["__text"].tolist()
+            for a, b in _chunks(texts):
+                rows = [(i, *m) for i, ms in zip(ids[a:b], mentions(texts[a:b], held.value)) for m in ms]
                 yield pd.DataFrame(rows, columns=["id", "pii_kind", "start_pos", "end_pos"])
 
     return df.select(F.col(row_id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInPandas(each, "id long, pii_kind string, start_pos int, end_pos int")
@@ -410,7 +443,7 @@ def mask(df: DataFrame, text: str, out: str, n_rows: int = ROWS) -> DataFrame:
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             texts = s.tolist()
-            yield pd.Series([m for a in range(0, len(texts), 500) for m in map(mask_text, texts[a : a + 500], mentions(texts[a : a + 500], held.value))], dtype=object)
+            yield pd.Series([m for a, b in _chunks(texts) for m in map(mask_text, texts[a:b], mentions(texts[a:b], held.value))], dtype=object)
 
     return df.withColumn(out, masked(F.col(text)))
 

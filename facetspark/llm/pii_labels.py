@@ -231,6 +231,10 @@ doi 10.####/{n}.####.#####
 arXiv:####.#####
 version ##.##.#-###
 part {W1}-####-##
+{w} code ###-##-##, {w} code ##-####
+stock no. ##-###-## or {W1} ## ##
+serial numbers ###-##-## and ###-##-##
+items such as ##-##-## and ###-##-##
 Room ##, Building #
 Section ##, page ###
 Chapter #: {T}
