@@ -57,6 +57,22 @@ def test_packing(spark):
     assert packing.containers(docs.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="no tokenizer file")
+def test_packing_of_repeated_rows_and_many_open(spark, monkeypatch):
+    docs = _docs(spark, [(1, "long text " * 3000), (1, "long text " * 3000)]).repartition(1)
+    by_bin = {}
+    for r in packing.containers(docs, "doc_id", "text", 512).collect():
+        by_bin.setdefault(r.bin, []).append(r.n_tokens)
+    assert all(sum(n) <= 512 for n in by_bin.values())
+    monkeypatch.setattr(packing, "CARRY", 20)
+    texts = [f"word {i} " * (60 if i % 2 else 90) for i in range(300)]  # two large ones never fit, a large and a small one do
+    docs = _docs(spark, list(enumerate(texts))).repartition(8)
+    got = packing.containers(docs, "doc_id", "text", 310).collect()
+    bins = {r.bin: r.bin_tokens for r in got}
+    assert sorted(r.doc_id for r in got) == list(range(300)) and max(bins.values()) <= 310
+    assert len(bins) <= 1.15 * sum(bins.values()) / 310 + 2  # two small ones that met at first keep a large one out
+
+
 def test_best_fit_leaves_what_cannot_fit():
     bins = packing.best_fit([(6, [(1, 0, 0, 6)])] * 5 + [(4, [(2, 0, 0, 4)])] * 2, 10)
     assert sorted(u for u, _ in bins) == [6, 6, 6, 10, 10]
