@@ -5,8 +5,9 @@ metric of a path is the Levenshtein distance of the letters where the numbers ag
 pivot table holds for each accepted row its hash, numbers, letters and the letters' distances to a few pivots
 fixed when the table was made. A new row within distance r of a stored one differs by at most r from it in every
 pivot distance, so bands of the first pivots' distances (beside the numbers) are join keys, the other pivots
-prune, and only what is left is measured. Accepted rows are appended with their distances; history is never
-measured again.
+prune, and only what is left is measured. The table is stored with ``create`` and taken up with ``load`` by later
+sessions; ``append`` adds the rows a batch had accepted, with their distances. History is never measured again: a
+batch reads the stored columns, in the parts of the table that its first bands name.
 
 Texts equal after normalising form one class and are joined as one, so copies are never paired with each other.
 Rows are taken in the order (batch, id) and a repeat is not accepted, so later rows are judged against accepted
@@ -27,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hex64, read
+from .common import cut, hex64, read, small
 
 #: SHA-256 of no bytes; words that file managers add to a copy's name; endings that mean the same.
 EMPTY_CONTENT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -47,18 +48,25 @@ def image_key(c: Column) -> Column:
     return F.when((h != "0" * 64) & (h != EMPTY_CONTENT), h)
 
 
-def with_path_parts(df: DataFrame, path: str, root: str = "library") -> DataFrame:
-    """``df`` with numbers and letters of a path: from the folder ``root`` on, however mounted, escaped, cased or marked as a copy."""
+def _resolved(path: Column) -> Column:
+    """An absolute path without . and .. and empty steps, however deep."""
+    step = lambda a, x: F.when(x.isin("", "."), a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    walked = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
+    return F.when(path.rlike(r"/\.{0,2}/"), walked).otherwise(path)
+
+
+def with_path_parts(df: DataFrame, path: str, root: str | None = None) -> DataFrame:
+    """``df`` with numbers and letters of a path, however escaped, cased or marked as a copy; given ``root``, from the folder of that name on, wherever it is mounted."""
     c = F.col(path)
     s = F.when(c.contains("%"), F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)).otherwise(c)
     s = F.translate(F.lower(s), "".join(_ACCENTED), _PLAIN)
     s = F.regexp_replace(s, r"\p{M}|^\s+|\s+$", "")
     s = F.replace(s, F.lit("\\"), F.lit("/"))
     s = F.concat(F.lit("/"), F.regexp_replace(s, r"^(?:[a-z]+://[^/]*|[a-z]:)", ""))
-    s = F.regexp_replace(s, rf"^.*?/{root}/", f"/{root}/")
-    s = F.regexp_replace(s, r"/(?:\.?/)+", "/")
-    for _ in range(4):
-        s = F.regexp_replace(s, r"/(?!\.\.)[^/]+/\.\.(?=/)", "")
+    df = df.withColumn("__s", s)
+    s = _resolved(F.col("__s"))
+    if root:
+        s = F.regexp_replace(s, rf"^.*?/{root}/", f"/{root}/")
     ending = F.regexp_extract("__s", r"\.([a-z0-9]{1,5})$", 1)
     for a, b in SAME_ENDINGS.items():
         ending = F.regexp_replace(ending, f"^{a}$", b)
@@ -75,28 +83,51 @@ def with_path_parts(df: DataFrame, path: str, root: str = "library") -> DataFram
 
 @dataclass
 class PivotTable:
-    """Accepted rows: batch, id, hash, numbers, letters and the distances to the pivots."""
+    """Accepted rows: batch, id, hash, numbers, letters and the distances to the pivots; ``fresh``: those not yet stored."""
 
     rows: DataFrame
     pivots: list[str]
+    root: str | None = None
+    fresh: DataFrame | None = None
 
     @classmethod
-    def build(cls, history: DataFrame, row_id: str, hash_col: str, path_col: str) -> PivotTable:
+    def build(cls, history: DataFrame, row_id: str, hash_col: str, path_col: str, root: str | None = None) -> PivotTable:
         """Pivots are chosen far apart among at most PIVOT_SAMPLE letter classes (those of least hash)."""
-        rows = cut(_keys(history, F.lit(-1), row_id, hash_col, path_col))
+        rows = cut(_keys(history, F.lit(-1), row_id, hash_col, path_col, root))
         sample = [r.letters for r in rows.select("letters").filter("letters is not null").distinct().orderBy(F.xxhash64("letters"), "letters").limit(PIVOT_SAMPLE).collect()]
         pivots = _far_apart(sample) or [""]
-        return cls(cut(_measured(rows, pivots)), pivots)
+        rows = cut(_measured(rows, pivots))
+        return cls(rows, pivots, root, rows)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> PivotTable:
+        """The stored table. Its distances are read, not measured."""
+        about = spark.read.schema("pivots array<string>, root string").parquet(f"{folder}/about").first()
+        rows = spark.read.schema(_STORED).parquet(f"{folder}/rows").drop("band")
+        return cls(rows, list(about.pivots), about.root)
+
+    def create(self, folder: str) -> PivotTable:
+        """Store the whole table, in parts of the first pivot's band; an existing one is an error."""
+        spark = self.rows.sparkSession
+        _banded(self.rows).write.partitionBy("band").parquet(f"{folder}/rows")
+        spark.createDataFrame([(self.pivots, self.root)], "pivots array<string>, root string").write.parquet(f"{folder}/about")
+        return PivotTable.load(spark, folder)
+
+    def append(self, folder: str) -> PivotTable:
+        """Add the rows that batches brought since the table was loaded to the stored one; nothing else is written."""
+        if self.fresh is not None:
+            _banded(self.fresh).write.mode("append").partitionBy("band").parquet(f"{folder}/rows")
+        return PivotTable.load(self.rows.sparkSession, folder)
 
     def keys_of(self, batch: DataFrame, batch_no: str, row_id: str, hash_col: str, path_col: str) -> DataFrame:
-        return _measured(_keys(batch, F.col(batch_no), row_id, hash_col, path_col), self.pivots)
+        return _measured(_keys(batch, F.col(batch_no), row_id, hash_col, path_col, self.root), self.pivots)
 
     def absorb(self, new: DataFrame) -> tuple[DataFrame, PivotTable]:
         """(repeats with their accepted row, the table with the accepted rows appended). new: from keys_of."""
         new = cut(new)
         cases = self._repeats(new)
         fresh = new.join(cases.select("id"), "id", "left_anti")
-        return cases, PivotTable(self.rows.unionByName(fresh), self.pivots)
+        return cases, PivotTable(self.rows.unionByName(fresh), self.pivots, self.root, fresh if self.fresh is None else self.fresh.unionByName(fresh))
 
     def _repeats(self, new: DataFrame) -> DataFrame:
         near = self._near(new)
@@ -120,7 +151,7 @@ class PivotTable:
             # of several accepted rows the one with the same image is named, else the smallest id
             return hits.groupBy("id").agg(F.min(F.struct((~F.col("key").startswith("h")).alias("by"), F.col("a.id").alias("a"))).alias("m")).select(F.col("m.a").alias("accepted_id"), "id")
 
-        touched = contributed(self.rows.select("batch", "id", "image", "numbers", "letters")).join(sees.select("key").distinct(), "key", "left_semi")
+        touched = contributed(self.rows.select("batch", "id", "image", "numbers", "letters")).join(small(cut(sees.select("key").distinct())), "key", "left_semi")
         cases = cut(matched(sees, touched))
         open_rows = cut(new.select("batch", "id").join(cases.select("id"), "id", "left_anti"))
         while not open_rows.isEmpty():
@@ -137,17 +168,19 @@ class PivotTable:
     def _near(self, new: DataFrame) -> DataFrame:
         """(near_from, near_to): path classes of new rows and other classes one slip away."""
         cols = ["numbers", "letters", *[f"d{i}" for i in range(N_PIVOTS)]]
-        mine = new.select(*cols).filter("letters is not null").distinct()
-        theirs = self.rows.select(*cols).filter("letters is not null").unionByName(mine).distinct()
+        mine = cut(new.select(*cols).filter("letters is not null").distinct())
         bands = [f"b{i}" for i in range(KEY_PIVOTS)]
-        theirs = theirs.withColumns({b: F.floor(F.col(f"d{i}") / BAND) for i, b in enumerate(bands)})
         probe = mine.select(*[F.col(c).alias(f"n_{c}") for c in cols])
         for i, b in enumerate(bands):
             probe = probe.withColumn(b, F.explode(F.sequence(F.floor((F.col(f"n_d{i}") - REACH) / BAND), F.floor((F.col(f"n_d{i}") + REACH) / BAND))))
-        pairs = probe.withColumnRenamed("n_numbers", "numbers").join(theirs, ["numbers", *bands])
+        probe = small(cut(probe.withColumnRenamed("n_numbers", "numbers")))
+        # history is read where it lies: one row for each stored row, copies are met and dropped after the join
+        theirs = self.rows.select(*cols).filter("letters is not null").unionByName(mine)
+        theirs = theirs.withColumns({b: F.floor(F.col(f"d{i}") / BAND) for i, b in enumerate(bands)})
+        pairs = theirs.join(probe, ["numbers", *bands])
         pairs = pairs.filter(reduce(lambda a, b: a & b, [F.abs(F.col(f"d{i}") - F.col(f"n_d{i}")) <= REACH for i in range(N_PIVOTS)]))
         pairs = pairs.filter(F.col("letters") != F.col("n_letters")).filter(one_slip(F.col("letters"), F.col("n_letters")))
-        return pairs.select(F.concat(F.lit("p"), "numbers", F.lit("\t"), "n_letters").alias("near_from"), F.concat(F.lit("p"), "numbers", F.lit("\t"), "letters").alias("near_to"))
+        return pairs.select(F.concat(F.lit("p"), "numbers", F.lit("\t"), "n_letters").alias("near_from"), F.concat(F.lit("p"), "numbers", F.lit("\t"), "letters").alias("near_to")).distinct()
 
 
 def one_slip(a: Column, b: Column) -> Column:
@@ -157,9 +190,16 @@ def one_slip(a: Column, b: Column) -> Column:
     return (d <= 1) | ((d == 2) & (F.length(a) == F.length(b)) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), swapped))
 
 
-def _keys(df: DataFrame, batch: Column, row_id: str, hash_col: str, path_col: str) -> DataFrame:
+_STORED = "batch int, id long, image string, numbers string, letters string, " + "".join(f"d{i} int, " for i in range(N_PIVOTS)) + "band int"
+
+
+def _banded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("band", F.floor(F.col("d0") / BAND).cast("int"))
+
+
+def _keys(df: DataFrame, batch: Column, row_id: str, hash_col: str, path_col: str, root: str | None) -> DataFrame:
     rows = df.select(batch.cast("int").alias("batch"), F.col(row_id).cast("long").alias("id"), image_key(F.col(hash_col)).alias("image"), F.col(path_col).alias("__path"))
-    return with_path_parts(rows, "__path").drop("__path")
+    return with_path_parts(rows, "__path", root).drop("__path")
 
 
 def _measured(rows: DataFrame, pivots: list[str]) -> DataFrame:
@@ -191,7 +231,7 @@ def _levenshtein(a: str, b: str) -> int:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(accepted_id, id): arrivals whose image or file was accepted before."""
     history = read(spark, sf_dir, "image_import").filter("status is null or status <> 'failed'")
-    table = PivotTable.build(history, "id", "hash", "source_path")
+    table = PivotTable.build(history, "id", "hash", "source_path", root="library")  # these paths' own top folder
     new = table.keys_of(read(spark, sf_dir, "import_batch"), "batch_no", "id", "hash", "source_path")
     return table.absorb(new)[0]
 

@@ -57,7 +57,7 @@ def test_history_spellings_and_order(spark):
     ]
     h = spark.createDataFrame(old, "id long, source_path string, hash string").withColumn("image", F.lit("clash"))
     b = spark.createDataFrame(batch, "batch_no int, id long, source_path string, hash string")
-    table = history.PivotTable.build(h, "id", "hash", "source_path")
+    table = history.PivotTable.build(h, "id", "hash", "source_path", "library")
     cases, grown = table.absorb(table.keys_of(b, "batch_no", "id", "hash", "source_path"))
     want = {(1, 11), (2, 12), (2, 13), (1, 14), (15, 16), (17, 21), (15, 22)}
     assert {(r.accepted_id, r.id) for r in cases.collect()} == want
@@ -67,10 +67,41 @@ def test_history_spellings_and_order(spark):
         c, one = one.absorb(one.keys_of(b.filter(F.col("batch_no") == k), "batch_no", "id", "hash", "source_path"))
         found |= {(r.accepted_id, r.id) for r in c.collect()}
     assert found == want and one.rows.count() == grown.rows.count() == 4 + 13 - 7
-    empty = history.PivotTable.build(h.limit(0), "id", "hash", "source_path")
+    empty = history.PivotTable.build(h.limit(0), "id", "hash", "source_path", "library")
     assert empty.absorb(empty.keys_of(b.limit(0), "batch_no", "id", "hash", "source_path"))[0].count() == 0
 
 
+def test_stored_pivot_table(spark, tmp_path):
+    schema = "batch_no int, id long, source_path string, hash string"
+    h = spark.createDataFrame([(0, i, _path(i, i), f"{i:064x}") for i in range(1, 40)] + [(0, 40, None, None)], schema)
+    b1 = spark.createDataFrame([(1, 101, _path(3, 3, place="salt peir"), None), (1, 102, _path(200, 1), "d" * 64)], schema)
+    b2 = spark.createDataFrame([(2, 201, _path(200, 1, place="salt pierr"), None), (2, 202, _path(300, 1), "D" * 64), (2, 203, _path(9, 9).upper(), None), (2, 204, _path(400, 1), None)], schema)
+    folder = str(tmp_path / "table")
+    names = ("batch_no", "id", "source_path", "hash")
+    keys = lambda t, b: t.keys_of(b, "batch_no", "id", "hash", "source_path")
+    table = history.PivotTable.build(h.select(*names), "id", "hash", "source_path", "library").create(folder)
+    cases, grown = table.absorb(keys(table, b1))
+    assert {(r.accepted_id, r.id) for r in cases.collect()} == {(3, 101)} and grown.append(folder).rows.count() == 41
+    later = history.PivotTable.load(spark, folder)
+    plan = later.rows._jdf.queryExecution().toString()
+    assert "levenshtein" not in plan and "regexp" not in plan  # what is stored is neither measured nor taken apart again
+    cases, grown = later.absorb(keys(later, b2))
+    assert {(r.accepted_id, r.id) for r in cases.collect()} == {(102, 201), (102, 202), (9, 203)}
+    assert grown.fresh.count() == 1 and grown.append(folder).rows.count() == 42
+    with pytest.raises(Exception):
+        table.create(folder)
+
+
+def test_paths_are_resolved_at_any_depth(spark):
+    deep = "/library/" + "/".join(f"d{i}" for i in range(30)) + "/.." * 30 + "/x/IMG_1.jpg"
+    rows = ["/library/a/b/c/d/e/f/../../../../../../x/IMG_1.jpg", deep, "/library//./x/IMG_0001.jpeg", "/library/q/../../library/x/IMG_1.jpg", "/library/x/IMG_1.jpg"]
+    df = spark.createDataFrame([(r,) for r in rows], "p string")
+    got = {(r.numbers, r.letters) for r in history.with_path_parts(df, "p", "library").collect()}
+    assert got == {("1", "/library/x/img#.jpg")}
+    got = [r.letters for r in history.with_path_parts(spark.createDataFrame([("/mnt/../../b/c.png",), ("/m/library/c.png",), ("..",)], "p string"), "p").collect()]
+    assert got[0] == "/b/c.png" and got[1] == "/m/library/c.png" and got[2] is None
+
+
 def _table(spark, x, ids=None):
     ids = range(1, len(x) + 1) if ids is None else ids
     return spark.createDataFrame([(int(i), None if v is None else [float(a) for a in v]) for i, v in zip(ids, x)], "id long, v array<float>").withColumn("space", F.lit("clash")).withColumn("vec", F.lit(1))
