@@ -1,7 +1,9 @@
 """Operators on texts against brute force, round trips and held-out accuracy."""
 
 import os
+import random
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,26 @@ def test_leakage(spark):
     assert leakage.leaked(docs, items.limit(0), "doc_id", "text", "item_id", "item_text").count() == 0
 
 
+def test_stored_index_answers_another_test_set(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 400)
+    monkeypatch.setattr(leakage, "TRIED", 50)
+    r = random.Random(5)
+    few = [f"w{i}" for i in range(12)]
+    texts = [" ".join(r.choice(few) for _ in range(r.choice([0, 5, 40, 90]))) for _ in range(60)] + [None]
+    docs = _docs(spark, list(enumerate(texts)))
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    leakage.build_index(spark.read.parquet(str(tmp_path / "docs")), "doc_id", "text").write.parquet(str(tmp_path / "index"))
+    shutil.rmtree(tmp_path / "docs")  # from here on only the index is left
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() > 3
+    for seed in (1, 2):
+        s = random.Random(seed)
+        rows = [(i, " ".join(s.choice(few) for _ in range(30))) for i in range(20)] + [(20, " ".join(texts[3 * seed : 3 * seed + 3])), (21, None)]
+        items = spark.createDataFrame(rows, "item_id long, item_text string")
+        got = {(x.doc_id, x.item_id) for x in leakage.find_leaks(index, items, "item_id", "item_text", n=4).collect()}
+        assert got == {(d, i) for d, t in enumerate(texts) for i, q in rows if _grams(t, 4) & _grams(q, 4)} and got
+
+
 @pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="no tokenizer file")
 def test_packing(spark):
     texts = [None, "", "one two three"] + [f"word {i} " * (i % 90 + 1) for i in range(400)] + ["long text " * 3000, "long text " * 3000]
