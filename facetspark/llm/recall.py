@@ -1,4 +1,7 @@
-"""Recall of p4_neighbours against brute force, and what its trees do: python -m facetspark.llm.recall SF_DIR"""
+"""Figures no SQL gives: recall of p4_neighbours against brute force, what its trees do, and how varied p3's subset is.
+
+python -m facetspark.llm.recall SF_DIR
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from .neighbours import CELL, FACTOR, SPACES, Router, Top, VantageTree, p4_neighbours
+from .subset import p3_varied_subset
 from .vectors import units_of
 
 
@@ -49,6 +53,14 @@ def main(sf_dir: str) -> None:
         good, wanted = recall(near[s], x, ids, 10)
         cells, splits, compared, pruned = tree_work(x, ids)
         print(f"{s}: recall {good} of {wanted}; {cells} cells of about {CELL}, {splits} inner nodes, {compared} pairs compared in them, {pruned} ruled out")
+        if s == "visual":
+            picked = np.isin(ids, [r.id for r in p3_varied_subset(spark, sf_dir).select("id").collect()])
+            drawn = np.isin(np.arange(len(ids)), np.random.default_rng(0).choice(len(ids), picked.sum(), replace=False))
+            for name, some in (("p3_varied_subset", picked), ("drawn at random", drawn)):
+                among = x[some] @ x[some].T
+                np.fill_diagonal(among, -1)
+                best = (x @ x[some].T).max(axis=1)
+                print(f"{name}: {some.sum()} points, largest cosine among them {among.max():.2f}, pairs above 0.65 {int((among >= 0.65).sum()) // 2}, points within cosine 0.65 of one {float((best >= 0.65).mean()):.3f}")
 
 
 if __name__ == "__main__":

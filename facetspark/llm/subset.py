@@ -3,9 +3,12 @@
 A record's row of features is its unit vector and, at a lower weight, its hashed description. In a round every
 partition nominates the rows a column-pivoted QR of its transposed rows would take first: each time the row with
 the largest part outside the span of those taken. Nominees meet pairwise in a tree and are pivoted again, and the
-last node's rows are chosen. Rows already like a chosen one (large burst or copy) are deflated before the next
-round: a row counts only as far as it differs from the chosen row most like it. Rounds repeat until the subset is
-full; memory per task is one batch and one round's nominees, and only the chosen rows reach the driver.
+last node's rows are chosen. Before the next round all rows are deflated by the span of those chosen: what counts is
+the part outside it. When no row reaches LOW of the first pivot outside the span, the rank is used up; a new pass over
+the dimensions then begins, in which a row counts only as far as it differs from the row most like it of those chosen
+in former passes, so copies and bursts stay out. Rounds repeat until the subset is full; memory per task is one batch
+and one round's nominees, and only the chosen rows reach the driver. Nodes are dealt by a hash of the id, so the
+subset doesn't depend on how the input was partitioned.
 
 Defined cases: unusable vectors take no part; a null or empty description adds nothing; equal rows are taken once
 (the least id), and again only when nothing else is left; fewer usable rows than asked for are all taken; an empty
@@ -28,7 +31,9 @@ from .leakage import words
 from .vectors import DIM, matrix, to_binary, units_of
 
 TEXT_DIM, TEXT_WEIGHT = 64, 0.5
-PER_ROUND, BATCH = 64, 4096
+PER_ROUND, BATCH, NODE = 64, 4096, 16_384
+#: Part of the first pivot's length below which the rank counts as used up.
+LOW = 0.25
 #: Below this squared sine a row equals a chosen one but for rounding.
 SAME = 1e-5
 _NOMINEE = "node int, id long, residual double, vec binary"
@@ -75,22 +80,30 @@ def pivots(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def varied_subset(rows: DataFrame, k: int, dim: int = DIM + TEXT_DIM) -> DataFrame:
     """(rank, id, round, residual): k varied rows of ``rows`` (id, vec), the most telling first."""
     rows = cut(rows)
-    spark, chosen, taken = rows.sparkSession, [], np.empty((0, dim), np.float32)
+    nodes = max(1, -(-rows.count() // NODE))
+    rows = cut(rows.repartition(nodes, "id").sortWithinPartitions("id", "vec")) if nodes > 1 else cut(rows.coalesce(1).sortWithinPartitions("id", "vec"))
+    spark, chosen, no, first = rows.sparkSession, [], 0, None
+    former, here = np.empty((0, dim), np.float32), np.empty((0, dim), np.float32)
     while len(chosen) < k:
-        held = spark.sparkContext.broadcast(({c[0] for c in chosen}, taken))
-        most = min(PER_ROUND, k - len(chosen))
-        got = _round(rows, held, most, dim)
-        if not got:  # what is left equals chosen rows: take the least ids
+        no += 1
+        basis = np.linalg.qr(here.astype(np.float64).T)[0].T.astype(np.float32) if len(here) else here
+        held = spark.sparkContext.broadcast(({c[0] for c in chosen}, basis, former))
+        got = _round(rows, held, min(PER_ROUND, k - len(chosen)), dim, nodes)
+        first = got[0].residual if got and first is None else first
+        good = [g for g in got if g.residual >= LOW * first]
+        chosen += [(g.id, no, g.residual) for g in good]
+        here = np.concatenate([here, *[matrix([bytes(g.vec)], dim) for g in good]])
+        if len(good) == len(got) and got:
+            continue
+        if not len(here):  # nothing new in a whole pass: what is left equals chosen rows, take the least ids
             left = rows.select("id").join(spark.createDataFrame([(c[0],) for c in chosen] or [(None,)], "id long"), "id", "left_anti")
             chosen += [(r.id, -1, 0.0) for r in left.orderBy("id").limit(k - len(chosen)).collect()]
             break
-        no = max((c[1] for c in chosen), default=0) + 1
-        chosen += [(g.id, no, g.residual) for g in got]
-        taken = np.concatenate([taken, matrix([bytes(g.vec) for g in got], dim)])
+        former, here, first = np.concatenate([former, here]), here[:0], None
     return spark.createDataFrame([(i + 1, *c) for i, c in enumerate(chosen)], "rank int, id long, round int, residual double")
 
 
-def _round(rows: DataFrame, held, most: int, dim: int) -> list:
+def _round(rows: DataFrame, held, most: int, dim: int, width: int) -> list:
     """One tournament: the rows that win, in pivot order."""
 
     def frame(node: int, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
@@ -101,8 +114,8 @@ def _round(rows: DataFrame, held, most: int, dim: int) -> list:
         from pyspark import TaskContext
 
         node = TaskContext.get().partitionId()
-        done, unit = held.value
-        own = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+        done, basis, former = held.value
+        own = former / np.maximum(np.linalg.norm(former, axis=1, keepdims=True), 1e-12)
         best = None
         for b in batches:
             ids, x = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1).to_pylist(), dim)
@@ -115,6 +128,8 @@ def _round(rows: DataFrame, held, most: int, dim: int) -> list:
                     cos = (y / np.linalg.norm(y, axis=1, keepdims=True)) @ own.T
                     new = 1 - np.square(cos.max(axis=1))
                     y = y * np.sqrt(np.where(new < SAME, 0, new))[:, None]
+                if len(basis):
+                    y = y - (y @ basis.T) @ basis
                 both = np.concatenate([y, raw], axis=1)
                 best = (ids[at], both) if best is None else (np.concatenate([best[0], ids[at]]), np.concatenate([best[1], both]))
                 keep, _ = pivots(best[1][:, :dim], most)
@@ -127,7 +142,6 @@ def _round(rows: DataFrame, held, most: int, dim: int) -> list:
         return frame(int(pdf["node"].iloc[0]), pdf["id"].to_numpy(), matrix(pdf["vec"], 2 * dim))
 
     level = rows.mapInArrow(nominate, _NOMINEE)
-    width = rows.rdd.getNumPartitions()
     while width > 1:
         level = level.withColumn("node", F.expr("node div 2")).groupBy("node").applyInPandas(again, _NOMINEE)
         width = -(-width // 2)

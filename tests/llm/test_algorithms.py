@@ -182,6 +182,17 @@ def test_varied_subset(spark):
     same = subset.features(_table(spark, [x[0]] * 5).withColumn("said", F.lit("a")), "id", "v", "said")
     assert [r.id for r in subset.varied_subset(same, 3).collect()] == [1, 2, 3]
     assert subset.varied_subset(rows.limit(0), 3).count() == 0
+    assert subset.varied_subset(rows.repartition(2), 30).collect() == subset.varied_subset(rows.repartition(7), 30).collect()
+
+
+def test_varied_subset_by_span_of_the_chosen(spark, monkeypatch):
+    monkeypatch.setattr(subset, "NODE", 12)
+    monkeypatch.setattr(subset, "PER_ROUND", 3)
+    e = np.eye(128)
+    x = np.concatenate([e[:8], (e[:7] + e[1:8]) / np.sqrt(2)])  # the sums lie in the span of the first eight
+    got = subset.varied_subset(subset.features(_table(spark, x).withColumn("said", F.lit("")), "id", "v", "said"), 12).orderBy("rank").collect()
+    u = np.stack([x[r.id - 1] for r in got[:8]])
+    assert np.linalg.matrix_rank(u, tol=1e-3) == 8 and len({r.id for r in got}) == 12  # first a base, then the rest
 
 
 def test_quantiles(spark):
