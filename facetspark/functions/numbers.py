@@ -37,6 +37,23 @@ def damage_percent(bad_pixels: Column, width: Column, height: Column) -> Column:
     return bad_pixels / F.greatest(F.lit(1).cast("long"), width.cast("long") * height) * 100.0
 
 
-def clamp_range(low: Column, high: Column) -> tuple[Column, Column]:
+def clamp_range(low: Column, high: Column) -> tuple[Column, Column, Column]:
+    """(low, high, their difference): low not below 0, high not below low."""
     low = F.greatest(F.lit(0.0), low)
-    return low, F.greatest(low, high)
+    high = F.greatest(low, high)
+    return low, high, high - low
+
+
+def fixed(x: Column, digits: int = 2, before: str = "", after: str = "") -> Column:
+    """A number with so many decimals, in a frame of text. Null and NaN stay null."""
+    shown = F.format_string(f"%.{digits}f", F.when(~F.isnan(x.cast("double")), x.cast("double")))
+    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")), F.concat(F.lit(before), shown, F.lit(after)))
+
+
+def kilobytes(size: Column) -> Column:
+    return fixed(size / F.lit(1024.0), 1, after=" KB")
+
+
+def grouped(x: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(x, 0)

@@ -106,3 +106,33 @@ def normal_format(c: Column) -> Column:
 
 def short_version(c: Column) -> Column:
     return F.concat(F.lit("#"), F.left(c, F.lit(8)))
+
+
+def sha256_hex(content: Column) -> Column:
+    """SHA-256 of bytes or of a text's UTF-8 as 64 hex digits."""
+    return F.sha2(content.cast("binary"), 256)
+
+
+def stamp(at: Column) -> Column:
+    """yyyyMMddHHmmss in the session's time zone."""
+    return F.date_format(at, "yyyyMMddHHmmss")
+
+
+def iso_time(at: Column) -> Column:
+    """ISO 8601 in UTC with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def exif_time(c: Column) -> Column:
+    """An EXIF date (2024:01:31 08:09:10) as ISO 8601; null where it is none."""
+    return F.date_format(F.try_to_timestamp(c, F.lit("yyyy:MM:dd HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def is_path(c: Column) -> Column:
+    """Is a rubric named by a path rather than by its name?"""
+    return c.contains("/") | c.contains("\\") | c.rlike(r"[^/\\]\.md$")
+
+
+def from_file_url(url: Column) -> Column:
+    """Path of a file:// URL; anything else stays as it is."""
+    return F.coalesce(file_path(url), url)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import blended, norm, sim01
@@ -117,6 +117,31 @@ def information_gain(probs: DataFrame, scored: DataFrame, lam: float = LAMBDA, b
     return each.groupBy("question_id").agg(mean.alias("expected_entropy"), F.first("entropy").alias("entropy")).select("question_id", "expected_entropy", (F.col("entropy") - F.col("expected_entropy")).alias("info_gain"))
 
 
+def bin_probabilities(probs: DataFrame, scored: DataFrame, lam: float = LAMBDA, bins: list[float] | None = None) -> DataFrame:
+    """(question_id, bin, prob): how likely each answer is; equal if nothing is likely."""
+    rows = scored.join(probs, "id").withColumn("bin", F.explode(F.array(*[F.lit(b) for b in bins or BINS])))
+    w = F.col("prob") * F.exp(-F.lit(lam) * (F.col("bin") - F.col("score")) * (F.col("bin") - F.col("score")))
+    t = rows.groupBy("question_id", "bin").agg(F.sum(w).alias("t"))
+    whole = F.sum("t").over(Window.partitionBy("question_id"))
+    return t.select("question_id", "bin", F.when(whole > 0, F.col("t") / whole).otherwise(F.lit(1.0 / len(bins or BINS))).alias("prob"))
+
+
+def described(beam: DataFrame, captions: DataFrame) -> DataFrame:
+    """(ordinal, id, prob, description) of a beam, the likeliest first; captions: (id, description)."""
+    rows = beam.join(captions.select("id", "description"), "id", "left")
+    said = F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.concat(F.lit("Image "), F.col("id").cast("string")))
+    ordinal = F.row_number().over(Window.orderBy(F.desc("prob"), "id"))  # a beam is small
+    return rows.select(ordinal.alias("ordinal"), "id", "prob", said.alias("description"))
+
+
+def save_beam(beam: DataFrame, path: str) -> None:
+    beam.select("id", "prob").sortWithinPartitions(F.desc("prob"), "id").write.mode("overwrite").parquet(path)
+
+
+def load_beam(spark: SparkSession, path: str, size: int = BEAM) -> DataFrame:
+    return pruned(spark.read.schema("id long, prob double").parquet(path), size)
+
+
 def penalised(gains: DataFrame, questions: DataFrame, skipped: DataFrame) -> DataFrame:
     """Gains of questions much like a skipped one (question vectors) are cut to a part."""
     s = skipped.select(F.col("vec").alias("other"))

@@ -1,10 +1,18 @@
-"""Full-text search over a column: postings, implicit AND, BM25."""
+"""Full-text search: an index of postings with positions, a query language, BM25.
+
+A query is made of words; words side by side are ANDed. OR, AND, NOT (in capitals), brackets, prefixes (win*), phrases
+(old + mill), the first word of a text (^old) and NEAR(old mill, 5) are understood, NOT binding closest and OR least.
+Quotes count as blanks.
+"""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the ranking function.
@@ -23,32 +31,202 @@ def tokens(c: Column) -> Column:
 
 
 def postings(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(token, id, tf, dl): one row per token of a document; a document of equal id counts once per row."""
+    """(token, id, dl, tf, pos): one row per token of a document; a document of equal id counts once per row."""
     docs = df.select(F.col(doc_id).alias("id"), tokens(F.col(text)).alias("ts"))
-    return docs.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("token")).groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def query_terms(query: str) -> list[str]:
-    import re
-
-    plain = "".join(c for c in unicodedata.normalize("NFD", re.sub("[\"']", " ", query).lower()) if unicodedata.category(c) != "Mn")
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", plain)))
+    return docs.select("id", F.size("ts").alias("dl"), F.posexplode("ts").alias("at", "token")).groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("pos"))
+
+
+def statistics(df: DataFrame, text: str) -> DataFrame:
+    """One row (n, total): documents and tokens of a corpus."""
+    size = F.regexp_count(F.coalesce(folded(F.col(text)), F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
+    return df.agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("double").alias("total"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings and statistics of a corpus; stored by token, so that a query reads its own tokens' parts of the files."""
+
+    postings: DataFrame
+    statistics: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame, doc_id: str, text: str) -> Index:
+        return cls(postings(df, doc_id, text), statistics(df, text))
+
+    def save(self, folder: str) -> None:
+        self.postings.repartitionByRange("token").sortWithinPartitions("token", "id").write.parquet(f"{folder}/postings")
+        self.statistics.write.parquet(f"{folder}/statistics")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Index:
+        return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/statistics"))
+
+    def search(self, query: str) -> DataFrame:
+        """(id, bm25) of the documents that match. Only postings of the query's words are read, and grouped by document."""
+        tree, phrases = parse(query)
+        if tree is None:
+            return self.postings.select("id", F.lit(0.0).alias("bm25")).limit(0)
+        exact = sorted({w for p in phrases for w in p.words[: len(p.words) - p.prefix]})
+        starts = sorted({p.words[-1] for p in phrases if p.prefix})
+        wanted = reduce(lambda a, b: a | b, [F.col("token").startswith(w) for w in starts], F.col("token").isin(exact))
+        docs = self.postings.filter(wanted).groupBy("id", F.col("dl").cast("double").alias("dl")).agg(F.collect_list(F.struct("token", "pos")).alias("held"))
+        docs = docs.select("id", "dl", *[p.found().alias(f"p{i}") for i, p in enumerate(phrases)])
+        total = docs.agg(*[F.count_if(F.size(f"p{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
+        hits = docs.filter(matches(tree, phrases)).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(self.statistics))  # one row each
+        score = F.lit(0.0)
+        for i in range(len(phrases)):
+            idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)))
+            f = F.size(f"p{i}").cast("double")
+            score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") * F.col("n") / F.col("total")))
+        return hits.select("id", score.alias("bm25"))
+
+
+@dataclass(frozen=True)
+class Phrase:
+    """Words in a row; the last may be the start of one, and the first the text's first."""
+
+    words: tuple[str, ...]
+    prefix: bool = False
+    first: bool = False
+
+    def found(self) -> Column:
+        """Places of its first word in a document's held (token, pos) structs."""
+
+        def places(word: str, start: bool) -> Column:
+            same = lambda h: h["token"].startswith(word) if start else h["token"] == word
+            return F.flatten(F.transform(F.filter("held", same), lambda h: h["pos"]))
+
+        def followed(at: Column, by: Column, k: int) -> Column:
+            return F.filter(at, lambda p: F.array_contains(by, p + k))
+
+        last = len(self.words) - 1
+        out = places(self.words[0], self.prefix and not last)
+        for k in range(1, len(self.words)):
+            out = followed(out, places(self.words[k], self.prefix and k == last), k)
+        return F.filter(out, lambda p: p == 0) if self.first else out
+
+
+_PART = re.compile(r"\s*(?:(NEAR)\s*\(|([()*^+,])|([^\s()*^+,]+))")
+
+
+def parse(query: str) -> tuple[tuple | None, list[Phrase]]:
+    """(tree, phrases): nodes are (word AND, OR, NOT or NEAR, arguments); a leaf is a phrase's number. ValueError where brackets don't match."""
+    parts = [m.groups() for m in _PART.finditer(re.sub("[\"']", " ", query))]
+    phrases: list[Phrase] = []
+    at = 0
+
+    def peek(k: int = 0) -> str | None:
+        return None if at + k >= len(parts) else parts[at + k][0] or parts[at + k][1] or parts[at + k][2]
+
+    def take() -> str:
+        nonlocal at
+        at += 1
+        return parts[at - 1][0] or parts[at - 1][1] or parts[at - 1][2]
+
+    def words(text: str) -> list[str]:
+        plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+        return re.findall(r"[^\W_]+", plain)
+
+    def phrase() -> tuple | None:
+        first = peek() == "^" and bool(take())
+        said: list[str] = []
+        while peek() is not None and peek() not in ("(", ")", "NEAR", "^", ","):
+            said += words(take())
+            if peek() != "+":
+                break
+            take()
+        prefix = peek() == "*" and bool(take())
+        if not said:
+            return None
+        phrases.append(Phrase(tuple(said), prefix, first))
+        return ("PHRASE", len(phrases) - 1)
+
+    def unit() -> tuple | None:
+        if peek() == "(":
+            take()
+            out = either()
+            if peek() != ")":
+                raise ValueError(f"a bracket is missing: {query}")
+            take()
+            return out
+        if peek() == "NEAR":
+            take()
+            near, reach = [], 10
+            while peek() not in (")", ",", None):
+                near.append(phrase())
+            if peek() == ",":
+                take()
+                reach = int(take())
+            if peek() != ")":
+                raise ValueError(f"a bracket is missing: {query}")
+            take()
+            near = [n for n in near if n]
+            return ("NEAR", *[n[1] for n in near], reach) if near else None
+        if peek() in ("+", "*", ","):
+            take()
+            return None
+        return phrase()
+
+    def many() -> tuple | None:
+        got = []
+        while peek() not in (None, ")", "AND", "OR", "NOT"):
+            got.append(unit())
+        return joined("AND", got)
+
+    def joined(name: str, got: list) -> tuple | None:
+        got = [g for g in got if g]
+        return None if not got else got[0] if len(got) == 1 else (name, *got)
+
+    def without() -> tuple | None:
+        out = many()
+        while peek() == "NOT":
+            take()
+            out = joined("NOT", [out, many()]) if out else many()
+        return out
+
+    def both() -> tuple | None:
+        got = [without()]
+        while peek() == "AND":
+            take()
+            got.append(without())
+        return joined("AND", got)
+
+    def either() -> tuple | None:
+        got = [both()]
+        while peek() == "OR":
+            take()
+            got.append(both())
+        return joined("OR", got)
+
+    tree = either()
+    if at < len(parts):
+        raise ValueError(f"a bracket too many: {query}")
+    return tree, phrases
+
+
+def matches(tree: tuple, phrases: list[Phrase]) -> Column:
+    """Does a document whose columns p0, p1, ... hold the phrases' places match?"""
+    name, *args = tree
+    if name == "PHRASE":
+        return F.size(f"p{args[0]}") > 0
+    if name == "NEAR":
+        *of, reach = args
+
+        def clump(i: int) -> Column:
+            end = len(phrases[i].words)
+            others = lambda s: reduce(lambda a, b: a & b, [F.exists(f"p{j}", lambda q: (q >= s) & (q - s - end <= reach)) for j in of if j != i], F.lit(True))
+            return F.exists(f"p{i}", others)
+
+        return reduce(lambda a, b: a | b, [clump(i) for i in of])
+    sides = [matches(a, phrases) for a in args]
+    if name == "NOT":
+        return sides[0] & ~sides[1]
+    return reduce((lambda a, b: a & b) if name == "AND" else (lambda a, b: a | b), sides)
 
 
 def bm25_search(df: DataFrame, doc_id: str, text: str, query: str) -> DataFrame:
-    """(id, bm25) of the documents that hold every term. One pass counts the terms; no posting of another term moves."""
-    terms = query_terms(query)
-    docs = df.select(F.col(doc_id).alias("id"), tokens(F.col(text)).alias("ts"))
-    tf = lambda t: F.size(F.filter("ts", lambda x: x == t)).cast("double")
-    counted = docs.select("id", F.size("ts").cast("double").alias("dl"), *[tf(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    total = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    hits = counted.filter(" and ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(total))  # total is one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)))
-        f = F.col(f"tf{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.select("id", score.alias("bm25"))
+    """(id, bm25) of the rows that match, without a stored index."""
+    return Index.of(df, doc_id, text).search(query)
 
 
 def updated_postings(old: DataFrame, changed: DataFrame, removed: DataFrame, doc_id: str, text: str) -> DataFrame:

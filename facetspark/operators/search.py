@@ -108,7 +108,7 @@ def run(df: DataFrame, query: str = "", filters: list[str] | None = None, limit:
         return structured(df, s)
     if free:
         hits = bm25_search(df, "id", "description", free)
-        return limited(df.join(hits, "id").orderBy(F.desc("bm25"), "id"), limit).drop("bm25")
+        return limited(df.join(hits, "id").orderBy(F.desc(F.round("bm25", 9)), "id"), limit).drop("bm25")
     return latest(df, limit)
 
 
@@ -116,3 +116,10 @@ def tool_view(df: DataFrame) -> DataFrame:
     """The few fields that a model's search tool returns. NaN is no value: null."""
     value = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return df.select("id", value("min_value"), value("max_value"), "standard_name", "image_format", "valued_at", F.substring("description", 1, 120).alias("description"))
+
+
+def record_view(df: DataFrame) -> DataFrame:
+    """Records under the names of the programming interface: camelCase, without the model's raw answer; NaN is null."""
+    camel = lambda n: n.split("_")[0] + "".join(w.title() for w in n.split("_")[1:])
+    value = lambda f: F.when(~F.isnan(f.name), F.col(f.name)) if f.dataType.typeName() == "double" else F.col(f.name)
+    return df.select(*[value(f).alias(camel(f.name)) for f in df.schema if f.name != "raw_llm_text"])

@@ -16,7 +16,7 @@ class SearchSession:
     """Finds a target among vectors (id, text_vec, visual_vec) by asking questions.
 
     embed turns a question's text into a vector. Only scalars and the top candidates reach the driver; the beam, at
-    X.
+    most beam_size rows, is a local table.
     """
 
     vectors: DataFrame

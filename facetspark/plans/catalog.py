@@ -195,6 +195,29 @@ def fts_top(t):
     return hits.orderBy(F.desc("bm25"), "id").limit(15)
 
 
+_SAID = r"WITH d AS (SELECT id, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(coalesce(description, ''))), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM valuation) SELECT id FROM d WHERE "
+
+
+@query(_SAID + "(t LIKE '% windmill %' OR t LIKE '% rain %') AND t NOT LIKE '% light %'")
+def fts_or_not(t):
+    return fulltext.bm25_search(t(V), "id", "description", "(windmill OR rain) NOT light").select("id")
+
+
+@query(_SAID + "regexp_matches(t, ' in light ra')")
+def fts_phrase_prefix(t):
+    return fulltext.bm25_search(t(V), "id", "description", "in + light + ra*").select("id")
+
+
+@query(_SAID + r"regexp_matches(t, ' windmill (\S+ ){0,3}near ') OR regexp_matches(t, ' near (\S+ ){0,3}windmill ')")
+def fts_near(t):
+    return fulltext.bm25_search(t(V), "id", "description", "NEAR(windmill near, 3)").select("id")
+
+
+@query(_bm25_sql("rain", "near").replace("SELECT id, round(", "SELECT v.id, v.standard_name, v.valued_at FROM (SELECT id, (", 1).replace(", 6) AS bm25 FROM s", ") AS bm25 FROM s", 1) + ") h JOIN valuation v USING (id) ORDER BY round(h.bm25, 9) DESC, id LIMIT 20")
+def search_text_branch(t):
+    return search.run(t(V), "rain near").select("id", "standard_name", "valued_at")
+
+
 @query(r"""WITH d AS (SELECT id, unnest(regexp_extract_all(strip_accents(lower(coalesce(description, ''))), '[\p{L}\p{N}]+')) AS token FROM valuation)
 SELECT token, count(DISTINCT id) AS documents, count(*) AS occurrences FROM d GROUP BY token""")
 def fts_vocabulary(t):
@@ -421,6 +444,18 @@ def beam_stats(t):
     return bayes.beam_stats(_beam(t)[1]).select("size", _r("max_prob", 9).alias("max_prob"), "collapsed")
 
 
+@query(_GAIN + "SELECT question_id, bin, round(t / sum(t) OVER (PARTITION BY question_id), 6) AS prob FROM tt")
+def answer_probabilities(t):
+    members, probs, q = _beam(t)
+    return bayes.bin_probabilities(probs, bayes.scores(members, q)).select("question_id", "bin", _r("prob").alias("prob"))
+
+
+@query(_BEAM + ", k AS (SELECT id, beam.prob AS prob FROM beam ORDER BY beam.prob DESC, id LIMIT 50) SELECT CAST(row_number() OVER (ORDER BY k.prob DESC, id) AS INTEGER) AS ordinal, id, round(k.prob, 9) AS prob, coalesce(nullif(trim(i.text_description), ''), 'Image ' || id) AS description FROM k LEFT JOIN image_import i USING (id)")
+def beam_descriptions(t):
+    beam = bayes.pruned(_beam(t)[1], 50)
+    return bayes.described(beam, t(I).select("id", F.col("text_description").alias("description"))).select("ordinal", "id", _r("prob", 9).alias("prob"), "description")
+
+
 @query("""WITH s AS (SELECT id, CAST(id % 9 + 1 AS INTEGER) AS round, (id % 11) / 20.0::DOUBLE AS diversity, CASE WHEN id % 6 > 0 THEN (id % 6) / 40.0::DOUBLE END AS best_gain, (id % 13) / 12.0::DOUBLE AS max_prob FROM image_import)
 SELECT id, CASE WHEN diversity < 0.1 AND round >= 2 THEN 'homogeneous' WHEN best_gain IS NULL OR (best_gain < 0.05 AND round >= 2) THEN 'low_ig' WHEN max_prob >= 0.9 THEN 'confidence'
 WHEN round >= 8 AND max_prob < 0.5 THEN 'not_in_library' WHEN round >= 8 THEN 'max_rounds' END AS reason FROM s""")
@@ -534,6 +569,23 @@ def damage_and_scale(t):
     return t(V).select("id", _r(numbers.damage_percent(F.col("undecodable_pixels"), F.col("width"), F.col("height"))).alias("damage"), _r(numbers.fit_scale(F.col("width"), F.col("height"), 2048)).alias("scale"))
 
 
+@query("SELECT id, sha256(description) AS digest, CASE WHEN NOT isnan(max_value) THEN '¥' || printf('%.2f', max_value) END AS price, printf('%.1f', floor(size_bytes / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' AS size, format('{:,}', size_bytes) AS bytes FROM valuation")
+def text_formats(t):
+    money = numbers.fixed(F.col("max_value"), 2, "¥")
+    return t(V).select("id", text.sha256_hex(F.col("description")).alias("digest"), money.alias("price"), numbers.kilobytes(F.col("size_bytes")).alias("size"), numbers.grouped(F.col("size_bytes")).alias("bytes"))
+
+
+@query("SELECT id, strftime(CAST(imported_at AS TIMESTAMP), '%Y%m%d%H%M%S') AS stamp, strftime(CAST(imported_at AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') || '.000Z' AS iso FROM image_import WHERE TRY_CAST(imported_at AS TIMESTAMP) IS NOT NULL")
+def time_stamps(t):
+    at = F.date_trunc("second", F.col("imported_at").try_cast("timestamp"))
+    return t(I).filter(at.isNotNull()).select("id", text.stamp(at).alias("stamp"), text.iso_time(at).alias("iso"))
+
+
+@query("SELECT id AS \"id\", image_hash AS \"imageHash\", url, image_format AS \"imageFormat\", width, height, channels, size_bytes AS \"sizeBytes\", undecodable_pixels AS \"undecodablePixels\", CASE WHEN NOT isnan(min_value) THEN min_value END AS \"minValue\", CASE WHEN NOT isnan(max_value) THEN max_value END AS \"maxValue\", currency, standard_name AS \"standardName\", standard_version AS \"standardVersion\", llm_model AS \"llmModel\", description, array_to_string(notes, '|') AS notes, tool_used AS \"toolUsed\", tool_fallback AS \"toolFallback\", input_tokens AS \"inputTokens\", output_tokens AS \"outputTokens\", valued_at AS \"valuedAt\" FROM valuation")
+def record_view(t):
+    return search.record_view(t(V)).withColumn("notes", F.array_join("notes", "|"))
+
+
 @query(r"SELECT id, regexp_extract(source_path, '([^/\\]*)$', 1) AS name, lower(regexp_extract(source_path, '[^./\\]\.([^./\\]+)$', 1)) AS ending FROM image_import")
 def file_names(t):
     return t(I).select("id", text.basename(F.col("source_path")).alias("name"), text.extension(F.col("source_path")).alias("ending"))

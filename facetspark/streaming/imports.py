@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.imports import classified
 from ..schemas import IMAGE_IMPORT
-from ..sources.tables import Store, upsert
+from ..sources.tables import Store
 
 
 def arrivals(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame:
@@ -25,7 +25,7 @@ def import_stream(rows: DataFrame, store: Store, table: str, checkpoint: str) ->
     def batch(df: DataFrame, _: int) -> None:
         old = store.read(table)
         new = classified(df, old.join(df.select("id"), "id", "left_anti")).filter("outcome = 'import'").drop("outcome")
-        store.write(table, upsert(old, new.select(*old.columns)))
+        store.upsert(table, new.select(*old.columns))
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -109,3 +109,16 @@ def test_image_files(spark, tmp_path):
     assert files.uniform_bottom_rows(bytes([1, 2, 3, 4, 7, 7, 7, 7]), 2, 1) == 2 and files.uniform_bottom_rows(b"", 2, 1) == 0
     (tmp_path / "t.txt").write_text("a=1\nb=2")
     assert [r.line for r in files.lines(spark, str(tmp_path / "t.txt")).orderBy("n").collect()] == ["a=1", "b=2"]
+
+
+def test_formats(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(numbers.fixed(F.lit(2.5), 0)) == "3" and one(numbers.fixed(F.lit(float("nan")))) is None and one(numbers.fixed(F.lit(1234.5), 2, "¥")) == "¥1234.50"
+    assert one(numbers.kilobytes(F.lit(1536))) == "1.5 KB" and one(numbers.grouped(F.lit(1000000))) == "1,000,000"
+    assert one(text.sha256_hex(F.lit(""))) == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855" and one(text.sha256_hex(F.lit(None).cast("string"))) is None
+    assert one(text.exif_time(F.lit("2024:01:31 08:09:10"))) == "2024-01-31T08:09:10.000Z" and one(text.exif_time(F.lit("soon"))) is None
+    at = F.lit("2024-01-31 08:09:10").cast("timestamp")
+    assert one(text.stamp(at)) == "20240131080910" and one(text.iso_time(at)) == "2024-01-31T08:09:10.000Z"
+    assert [one(text.is_path(F.lit(s))) for s in ("photo", "a/b", "x.md", ".md", "c\\d")] == [False, True, True, False, True]
+    assert one(text.from_file_url(F.lit("file:///a%20b"))) == "/a b" and one(text.from_file_url(F.lit("/x"))) == "/x"
+    assert tuple(spark.range(1).select(*numbers.clamp_range(F.lit(-2.0), F.lit(-5.0))).first()) == (0.0, 0.0, 0.0)

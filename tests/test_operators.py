@@ -12,6 +12,7 @@ from facetspark.functions import text
 from facetspark.operators import bayes, curation, fulltext, imports, kmeans, search
 from facetspark.operators.session import SearchSession
 from facetspark.plans import catalog, standards
+from facetspark.sources import sinks
 from facetspark.sources.tables import Store, insert_or_ignore, numbered, patched, upsert
 from facetspark.streaming.imports import arrivals, import_stream
 
@@ -65,6 +66,23 @@ def test_full_text(spark):
     assert {(r.token, r.id) for r in new.collect()} == {("town", 2), ("landscape", 3)}
 
 
+def test_full_text_language(spark, tmp_path):
+    said = ["red mill near the old bridge", "old mill", "the mill is old", "windmill and red wind", "Old, old MILL!", "bridge", "", None]
+    df = spark.createDataFrame(list(enumerate(said)), "id long, t string")
+    fulltext.Index.of(df, "id", "t").save(str(tmp_path / "i"))
+    index = fulltext.Index.load(spark, str(tmp_path / "i"))
+    want = {
+        "old mill": [0, 1, 2, 4], "old + mill": [1, 4], "mill OR bridge": [0, 1, 2, 4, 5], "mill NOT red": [1, 2, 4], "win*": [3], "^old": [1, 4], "^old mill NOT bridge": [1, 4],
+        "red (bridge OR wind)": [0, 3], "NEAR(mill bridge, 2)": [], "NEAR(mill bridge, 3)": [0], "NEAR(red + mill bridge)": [0], "bridge NOT mill OR wind*": [3, 5], "red AND old": [0], "'": [], "or": [], "mill + ol*": [], "is + ol*": [2],
+    }
+    for q, ids in want.items():
+        assert sorted(r.id for r in index.search(q).collect()) == ids, q
+        assert sorted(r.id for r in fulltext.bm25_search(df, "id", "t", q).collect()) == ids, q
+    for bad in ("(mill", "mill)", "NEAR(a b"):
+        with pytest.raises(ValueError):
+            index.search(bad)
+
+
 def probs(spark, *p):
     return spark.createDataFrame(list(enumerate(map(float, p))), "id long, prob double")
 
@@ -217,3 +235,81 @@ def test_values_that_are_no_number(spark):
     assert search.tool_view(df).first().max_value is None and search.tool_view(df).first().min_value == 1.005
     long = "file:///" + "a" * 3_000_000
     assert df.select(text.file_path(F.lit(long)).alias("p")).selectExpr("length(p)").first()[0] == 3_000_001
+
+
+def test_store_writes_deltas(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.count("image_import") == 0 and store.names() == [] and store.reachable()
+    store.ensure("image_import")
+    row = lambda i, s, p: spark.createDataFrame([(i, p, s)], "id long, source_path string, status string")
+    for i in range(1, 5):
+        store.append("image_import", row(0, "pending", f"p{i}").drop("id"))
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "s" / "image_import").rglob("*.parquet")}
+    before = files()
+    store.upsert("image_import", row(2, "indexed", "p2"))
+    store.upsert("image_import", row(2, "failed", "p2"))
+    store.insert_or_ignore("image_import", row(9, "new", "p1").unionByName(row(8, "new", "p8")).unionByName(row(7, "new", "p8")), "source_path")
+    store.patch("image_import", spark.createDataFrame([(3, "indexed", None)], "id long, status string, error string"), stamp="processed_at")
+    assert all(files()[p] == t for p, t in before.items())  # nothing is written again
+    want = {1: "pending", 2: "failed", 3: "indexed", 4: "pending", 7: "new"}
+    got = lambda: {r.id: r.status for r in store.read("image_import").collect()}
+    assert got() == want and store.count("image_import") == 5
+    at = {r.id: r.processed_at for r in store.read("image_import").collect()}
+    assert at[3] is not None and at[1] is None
+    store.compact("image_import")
+    assert store.vacuum("image_import") == 9 and got() == want and store.names() == ["image_import"]
+    # a writer that comes second tries again on what the first wrote
+    tried = []
+
+    def late(old):
+        if not tried:
+            store.upsert("image_import", row(1, "first", "p1"))
+        tried.append(old.count())
+        return row(1, "second", "p1").select(*[F.col(c) if c in ("id", "source_path", "status") else F.lit(None).cast("string").alias(c) for c in old.columns])
+
+    store._write("image_import", "upsert", late, "id")
+    assert len(tried) == 2 and got()[1] == "second"
+
+
+def test_many_upserts_are_compacted_and_migrations_run_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "PARTS", 3)
+    store = Store(spark, str(tmp_path))
+    store.ensure("t", "id long, v string")
+    for i in range(8):
+        store.upsert("t", spark.createDataFrame([(i % 2, str(i))], "id long, v string"))
+    assert {(r.id, r.v) for r in store.read("t").collect()} == {(0, "6"), (1, "7")} and len(store._parts("t")[1]) <= 4
+    ran = []
+    steps = {"010_b": lambda s: ran.append("b"), "2_a": lambda s: ran.append("a")}
+    assert store.migrate(steps) == ["2_a", "010_b"] and store.migrate(steps | {"011_c": lambda s: ran.append("c")}) == ["011_c"] and ran == ["a", "b", "c"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ab" * 32, "broke"), (2, "cd" * 32, None), (3, None, "")], "id long, image_hash string, error string")
+    assert sinks.json_lines(df).filter("id = 2").first().json == '{"id":2,"image_hash":"' + "cd" * 32 + '","error":null}'
+    assert sinks.pretty_json(df.filter("id = 3"), 5).startswith('[\n  {\n    "id": 3') and sinks.pretty_json(df.limit(0), 5) == "[]"
+    assert sorted(r.id for r in sinks.log_failures(df, "error", str(tmp_path / "f")).collect()) == [2, 3]
+    logged = spark.read.json(str(tmp_path / "f")).collect()
+    assert len(logged) == 1 and logged[0].name.startswith("fail-2") and logged[0].name.endswith("-abababab")
+    (tmp_path / "a.jpg").write_text("a")
+    (tmp_path / "b c.jpg").write_text("b")
+    urls = [f"file://{tmp_path}/a.jpg", f"file://{tmp_path}/b%20c.jpg", f"file://{tmp_path}/gone.jpg"]
+    plan = curation.plan_move(spark.createDataFrame([(u, 1.0) for u in urls], "url string, max_value double"), spark.createDataFrame([], "name string, max_value double"), "rename")
+    to = str(tmp_path / "to")
+    assert not any(r.moved for r in sinks.move_files(plan, to).collect()) and not (tmp_path / "to").exists()
+    moved = sinks.move_files(plan, to, dry_run=False)
+    assert {r.new_url[-9:]: r.moved for r in moved.collect()} == {"/to/a.jpg": True, "b%20c.jpg": True, "/gone.jpg": False} and (tmp_path / "to" / "b c.jpg").exists()
+    records = spark.createDataFrame([(u,) for u in [*urls, "http://x", None]], "url string")
+    assert sorted(str(r.url) for r in sinks.moved_urls(records, moved).collect()) == sorted([f"file://{to}/a.jpg", f"file://{to}/b%20c.jpg", urls[2], "http://x", "None"])
+    said = spark.createDataFrame([(3, "c=3"), (1, "a=1"), (2, None)], "n long, line string")
+    sinks.write_lines(said, "n", "line", str(tmp_path / "l"))
+    assert [r.line for r in sinks.read_lines(spark, str(tmp_path / "l")).orderBy("file", "n").collect()] == ["a=1", "", "c=3"] and sinks.translated_path("/x/tags.txt") == "/x/tags-tr.txt"
+
+
+def test_beams_are_saved_and_described(spark, tmp_path):
+    beam = probs(spark, 0.2, 0.5, 0.3)
+    bayes.save_beam(beam, str(tmp_path / "b"))
+    assert [(r.id, r.prob) for r in bayes.load_beam(spark, str(tmp_path / "b"), 2).collect()] == [(1, 0.5), (2, 0.3)]
+    said = spark.createDataFrame([(1, " "), (2, "a crane")], "id long, description string")
+    assert [(r.ordinal, r.description) for r in bayes.described(beam, said).collect()] == [(1, "Image 1"), (2, "a crane"), (3, "Image 0")]
+    nothing = spark.createDataFrame([(1, 0, 0.5)], "question_id int, id long, score double")
+    assert {r.prob for r in bayes.bin_probabilities(probs(spark, 0.0), nothing).collect()} == {0.1}
