@@ -24,6 +24,8 @@ from .common import cut, read, small, usable_number
 #: Fixed by the format of a summary row.
 _FIELDS = "__n long, __err long, __v array<double>, __lo array<long>, __hi array<long>"
 _BUFFER = 1 << 16
+#: Numbers a task holds before it sends its summaries on.
+_HELD = 8_000_000
 
 
 class Summary:
@@ -92,8 +94,9 @@ def _summaries(pdf: pd.DataFrame) -> list[Summary]:
 def summarise(df: DataFrame, keys: dict[str, Column], value: Column, size: int = 1000, fan_in: int = 8) -> DataFrame:
     """One summary row per group: the keys, __n, __err and the tuples. A summary holds about 2 * size tuples at most.
 
-    Each task keeps per group one summary and a buffer of 65,536 values; then summaries meet in a tree of the
-    given fan-in, so no task ever holds more than fan_in of one group, however hot the group.
+    Each task keeps per group one summary and a buffer of 65,536 values, and sends all of them on when they come to
+    _HELD numbers, however many groups there are; then summaries meet in a tree of the given fan-in, so no task ever
+    holds more than a few of one group, however hot the group.
     """
     names = list(keys)
     ks = [f"__k{i}" for i in range(len(names))]
@@ -110,16 +113,25 @@ def summarise(df: DataFrame, keys: dict[str, Column], value: Column, size: int =
         def fold(state: tuple[Summary, list, int]) -> Summary:
             return state[0].merge(Summary.exact(np.concatenate(state[1])).compress(2 * size)).compress(2 * size) if state[1] else state[0]
 
+        def rows() -> Iterator[pd.DataFrame]:
+            out = [[*k, node, *_row(fold(state))] for k, state in held.items()]
+            for i in range(0, len(out), 256):
+                yield pd.DataFrame(out[i : i + 256], columns=columns)
+
+        load = 0
         for pdf in batches:
             for key, g in pdf.groupby(ks, dropna=False, sort=False)["__x"]:
                 key = tuple(None if pd.isna(k) else k for k in key)
                 s, buffer, n = held.get(key, (Summary.exact(np.empty(0)), [], 0))
                 buffer.append(g.to_numpy())
                 n += len(g)
+                before = 3 * len(s.v) + n - len(g)
                 held[key] = (fold((s, buffer, n)), [], 0) if n >= _BUFFER else (s, buffer, n)
-        rows = [[*k, node, *_row(fold(state))] for k, state in held.items()]
-        for i in range(0, len(rows), 256):
-            yield pd.DataFrame(rows[i : i + 256], columns=columns)
+                load += 3 * len(held[key][0].v) + held[key][2] - before
+            if load > _HELD:
+                yield from rows()
+                held, load = {}, 0
+        yield from rows()
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         total = Summary.exact(np.empty(0))
@@ -137,9 +149,7 @@ def _tree(nodes: DataFrame, ks: list[str], joined, schema: str, fan_in: int) ->
     """Merge the summaries of each group level by level until each group has one."""
     level = cut(nodes)
     while True:
-        most = level.agg(F.max("__node")).first()[0]
-        if not most:
-            return level
+        most = level.agg(F.max("__node")).first()[0] or 0
         level = level.withColumn("__node", F.expr(f"__node div {fan_in}"))
         level = level.groupBy(*ks, "__node").applyInPandas(joined, schema)
         if most < fan_in:

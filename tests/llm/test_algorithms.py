@@ -312,3 +312,12 @@ def test_recall_with_a_third_in_one_group(spark, monkeypatch):
         found.setdefault(r.id, []).append((r.neighbour, r.cos))
     good, wanted = recall.recall(found, u, np.arange(1, len(x) + 1), 10)
     assert wanted == 10 * len(x) and good >= 0.9 * wanted
+
+
+def test_quantiles_of_very_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_HELD", 500)
+    rows = [(i % 700, float(i)) for i in range(7000)]
+    df = spark.createDataFrame(rows, "k int, x double").coalesce(1)
+    s = quantiles.summarise(df, {"k": F.col("k")}, F.col("x"), 50)
+    got = {r.k: (r.n, r.estimate) for r in quantiles.percentiles(s, ["k"], [0.5]).collect()}
+    assert s.count() == 700 and got == {k: (10, float(k + 700 * 4)) for k in range(700)}
