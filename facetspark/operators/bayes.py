@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import blended, norm, sim01
+from ..functions.vectors import sim01
 
 #: Bins of expected answers, and the defaults of a search.
 BINS = [round(0.05 + 0.1 * i, 2) for i in range(10)]
@@ -21,9 +21,39 @@ COLLAPSED, PENALTY, ALIKE, CERTAIN, HOMOGENEOUS, PRESENT = 0.01, 0.3, 0.7, 0.9,
 
 
 def scores(vectors: DataFrame, questions: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(question_id, id, score) of every vector (id, text_vec, visual_vec) for the few questions (question_id, vec)."""
-    pairs = vectors.crossJoin(F.broadcast(questions))  # a round asks a handful of questions
-    return pairs.select("question_id", "id", blended(F.col("vec"), F.col("text_vec"), F.col("visual_vec"), alpha).alias("score"))
+    """(question_id, id, score) of every vector (id, text_vec, visual_vec) for the few questions (question_id, vec).
+
+    alpha parts the score between the two vectors. Null and all-zero vectors and those of another length score 0.
+    """
+    kind = questions.schema["question_id"].dataType.simpleString()
+    asked = questions.select("question_id", F.col("vec").cast("array<double>")).collect()  # a round asks a handful of questions
+    held = vectors.sparkSession.sparkContext.broadcast([(r[0], np.asarray(r[1] if r[1] is not None and None not in r[1] else [], np.float64)) for r in asked])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [(w, _by_length(b.column(i))) for i, w in ((1, alpha), (2, 1 - alpha))]
+            for no, q in held.value:
+                score = np.zeros(b.num_rows)
+                for weight, groups in sides:
+                    at, x = groups.get(len(q), (None, None))
+                    if at is not None and len(q) and (norm := np.linalg.norm(q)) > 0:
+                        there = x.any(axis=1)
+                        score[at] += weight * np.where(there, (x @ (q / norm) + 1) / 2, 0)
+                yield pa.record_batch([pa.array([no] * b.num_rows, {"int": pa.int32(), "bigint": pa.int64()}[kind]), b.column(0), pa.array(score)], names=["question_id", "id", "score"])
+
+    return vectors.select(F.col("id").cast("long"), F.col("text_vec").cast("array<double>"), F.col("visual_vec").cast("array<double>")).mapInArrow(each, f"question_id {kind}, id long, score double")
+
+
+def _by_length(col: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{length: (rows, unit vectors, or zeros)} of a list column, without nulls and vectors that hold one."""
+    length = col.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(length[length > 0]):
+        at = np.flatnonzero(length == n)
+        x = col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+        good = np.isfinite(x).all(axis=1)
+        out[int(n)] = at[good], _unit(x[good])
+    return out
 
 
 def top_by_cosine(vectors: DataFrame, column: str, query: list[float], k: int) -> DataFrame:
@@ -154,15 +184,27 @@ def best_question(gains: DataFrame) -> DataFrame:
 
 
 def diversity(vectors: DataFrame, column: str) -> DataFrame:
-    """Mean of 1 - sim01 over all pairs, without forming pairs: from the length of the sum of unit vectors."""
-    n2 = norm(F.col(column))
-    unit = F.transform(column, lambda x: x.cast("double") / F.col("__n"))
-    rows = vectors.withColumn("__n", n2)
-    parts = rows.filter(F.col("__n") > 0).select(F.posexplode(unit)).groupBy("pos").agg(F.sum("col").alias("s")).agg(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("len2"))
-    counts = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("__n") > 0).cast("double").alias("nz"))
-    pairs, whole = F.col("n") * (F.col("n") - 1) / 2, F.col("nz") * (F.col("nz") - 1) / 2
-    value = 1 - ((F.col("len2") - F.col("nz")) / 2 + whole) / (2 * pairs)
-    return counts.crossJoin(F.broadcast(parts)).select(F.when(F.col("n") < 2, 0.0).otherwise(value).alias("diversity"))
+    """Mean of 1 - sim01 over all pairs, without forming pairs: from the length of the sum of unit vectors.
+
+    A vector that is null or all zero is like none; 0 for fewer than two vectors. Only sums leave a task.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, nz, sums = 0, 0, {}
+        for b in batches:
+            n += b.num_rows
+            for d, (_, x) in _by_length(b.column(0)).items():
+                nz += int(x.any(axis=1).sum())
+                sums[d] = sums.get(d, 0) + x.sum(axis=0)
+        rows = [(n, nz, None, None, 0.0)] + [(0, 0, d, i, float(v)) for d, s in sums.items() for i, v in enumerate(s)]
+        yield pa.RecordBatch.from_pylist([dict(zip(("n", "nz", "d", "pos", "s"), r)) for r in rows], pa.schema([("n", pa.int64()), ("nz", pa.int64()), ("d", pa.int32()), ("pos", pa.int32()), ("s", pa.float64())]))
+
+    parts = vectors.select(F.col(column).cast("array<double>")).mapInArrow(each, "n long, nz long, d int, pos int, s double")
+    parts = parts.groupBy("d", "pos").agg(F.sum("n").alias("n"), F.sum("nz").alias("nz"), F.sum("s").alias("s"))
+    whole = parts.agg(F.sum("n").cast("double").alias("n"), F.sum("nz").cast("double").alias("nz"), F.coalesce(F.sum(F.when(F.col("pos").isNotNull(), F.col("s") * F.col("s"))), F.lit(0.0)).alias("len2"))
+    pairs, alike = F.col("n") * (F.col("n") - 1) / 2, F.col("nz") * (F.col("nz") - 1) / 2
+    value = 1 - ((F.col("len2") - F.col("nz")) / 2 + alike) / (2 * pairs)
+    return whole.select(F.when(F.coalesce(F.col("n"), F.lit(0.0)) < 2, 0.0).otherwise(value).alias("diversity"))
 
 
 def tempered(posterior: DataFrame, prior: DataFrame, beta: float) -> DataFrame:
