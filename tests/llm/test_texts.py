@@ -107,7 +107,7 @@ def test_personal_data_held_out():
     assert len(got & want) / len(want) > 0.9 and len(got & want) / len(got) > 0.9
 
 
-#: Written by hand, not by the generator; [kind|mention].
+#: Written by hand, not by the generator; [kind|mention]. The first set was seen before the last label lines were added.
 BY_HAND = """
 Yesterday [person|John Smith] phoned from [phone|020 7946 0958] about the boiler.
 You can reach [person|Petra Müller] under [phone|+49 89 636 48018] until noon.
@@ -132,9 +132,31 @@ Call [phone|(212) 555-0187] or [phone|1-800-555-0199] today.
 """
 
 
-def hand_written():
+#: Written when the field was frozen; nothing was changed on its account, and nothing may be.
+FRESH = """
+The keys are with [person|Harriet Blythe], flat above the bakery.
+Invoice to [address|48 Willow Lane, Bristol BS6 7QT] please.
+Ring [person|Tom Ashby] on [phone|01273 555 014] after six.
+my new mail is [email|harriet_b@postbox.net]
+Frau [person|Ilse Bergmann] wohnt jetzt in der [address|Rosenstraße 14, 80331 München].
+Reisepass [idnum|C01234567], ausgestellt 2019
+[person|Jean-Luc Moreau] a appelé le [phone|+33 6 12 34 56 78].
+Contactar con [person|Lucía Ferrer] ([email|lferrer@correo.es])
+NIE [idnum|X1234567L] del solicitante
+请打电话给[person|张伟明]，号码 [phone|13900001111]。
+user [email|s.okoro@mail.example.org] logged in 3 times
+The Great Barrier Reef lies off Queensland.
+Support Vector Machines and Decision Trees were tuned on 5 folds.
+id=88213, total=1 204 553 rows, 12.5 s
+Meet at [address|9 Elm Street, Springfield, IL 62704] at noon.
+from collections import OrderedDict, Counter
+SSN [idnum|987-65-4321] belongs to [person|Dana K. Whitlock]
+"""
+
+
+def hand_written(said=BY_HAND):
     rows = []
-    for line in BY_HAND.strip().split("\n"):
+    for line in said.strip().split("\n"):
         text, marks, last = "", [], 0
         for m in re.finditer(r"\[(\w+)\|([^]]+)\]", line):
             text += line[last : m.start()]
@@ -145,8 +167,9 @@ def hand_written():
     return rows
 
 
-def test_personal_data_written_by_hand():
-    rows = hand_written()
+@pytest.mark.parametrize("said", [BY_HAND, FRESH])
+def test_personal_data_written_by_hand(said):
+    rows = hand_written(said)
     found = pii.mentions([t for t, _ in rows], pii.field())
     got, want = ({(i, *m) for i, ms in enumerate(x) for m in ms} for x in (found, [m for _, m in rows]))
     print("missed", [(k, rows[i][0][s:e]) for i, k, s, e in sorted(want - got)], "wrong", [(k, rows[i][0][s:e]) for i, k, s, e in sorted(got - want)])
