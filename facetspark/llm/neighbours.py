@@ -176,12 +176,12 @@ def nearest(points: DataFrame, queries: DataFrame | None, spaces: list[str], k:
     if queries is not None:
         askers = cut(queries.select("space", "id"))
         leads = askers.join(members, ["space", "id"], "left").select("space", F.coalesce("lead", "id").alias("id")).distinct()
-        asked = classes.join(leads, ["space", "id"], "left_semi")
+        asked = cut(classes.join(small(cut(leads)), ["space", "id"], "left_semi"))
     if least_cos <= 0:
         first = cut(_search(classes, asked.withColumn("radius", F.lit(0.0)), routers, k, factor, least_cos))
         far = first.groupBy("space", "id").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("worst"))
         radius = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("worst")))).otherwise(start / factor)  # too few at home: look everywhere
-        asked = asked.join(far, ["space", "id"], "left").select("space", "id", "vec", radius.alias("radius"))
+        asked = asked.join(small(cut(far)), ["space", "id"], "left").select("space", "id", "vec", radius.alias("radius"))
     else:
         asked = asked.withColumn("radius", F.lit(start))
     found = _search(classes, asked, routers, k, factor, least_cos, itself=start if queries is None and least_cos > 0 else None)
