@@ -1,7 +1,8 @@
 """Similarity clusters from mergeable cluster features.
 
-A cluster feature of unit vectors is their number and their sum; two add up. Each partition grows a tree of two
-levels: batches of its points go to the leaf of nearest centroid if that is close enough, else they found leaves.
+A cluster feature of unit vectors is their number and their sum; two add up. Each partition grows the leaves of a
+tree: batches of its points go to the leaf of nearest centroid if that is close enough, else they found leaves. The
+leaves are one flat list under the root, compared by matrix products, with no nodes between; a full list is sent on.
 The partitions' leaves are reduced in rounds: each round draws vantage points from the leaves, sends every leaf to
 its nearest one and merges what is close there, so parts of a cluster meet while no task receives all leaves. Ward
 agglomeration joins the remaining leaves of two or more points, cheapest merge first. One full pass then assigns
@@ -240,7 +241,7 @@ def assign(points: DataFrame, clusters: DataFrame) -> DataFrame:
     mine = points.select("space", "id", "vec").mapInArrow(placed(1), row).select("*", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("long").alias("chunk"))
     near = clusters.select("space", F.col("lead").alias("id"), F.col("sum").alias("vec")).mapInArrow(placed(WAYS), row).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
-    def meet(key, pdf: pd.DataFrame, mid: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, pdf: pd.DataFrame, mid: pd.DataFrame) -> pd.DataFrame:
         v, lead = _units([(0, bytes(np.zeros(DIM, np.float32)))]) if mid.empty else _units(list(zip(mid["id"], mid["vec"])))
         b = pa.RecordBatch.from_pandas(pdf[["space", "id", "vec"]], preserve_index=False)
         parts = [p.to_pandas() for p in _nearest(b, matrix(pdf["vec"]), v, lead)]
@@ -326,7 +327,7 @@ def linked(assigned: DataFrame, least: float) -> DataFrame:
     asks = rows.select("space", "id", "vec", "cell", F.col("block").alias("own")).join(plan, ["space"]).filter("block > own").withColumn("ask", F.lit(True)).withColumn("slot", F.get("slots", F.pmod(F.xxhash64("id"), "chunks").cast("int")))
     meet = held.select(*cols).unionByName(asks.select(*cols))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ask = pdf["ask"].to_numpy()
         pdf, q = pdf[~ask], pdf[ask]
         space, chunk = task_of[key[0]]
