@@ -148,11 +148,14 @@ def completed(df: DataFrame, prompt: str, make: Callable[[], TextModel]) -> Data
     return df.withColumn("__r", run.asNondeterministic()(F.col(prompt))).select("*", "__r.reply", "__r.error").drop("__r")
 
 
-def sliding_context(df: DataFrame, order: str, line: str, before: int = 60) -> DataFrame:
-    """``df`` (one document) with prompt: up to ``before`` earlier lines, this one and '='."""
+def sliding_context(df: DataFrame, order: str, line: str, before: int = 60, by: list[str] | None = None) -> DataFrame:
+    """``df`` with prompt: up to ``before`` earlier lines of the document told by the columns ``by``, this one and '='.
+
+    Without ``by`` all rows are one document, which one task then orders.
+    """
     from pyspark.sql import Window
 
-    w = Window.orderBy(order).rowsBetween(-before, 0)
+    w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(-before, 0)
     return df.withColumn("prompt", F.concat(F.array_join(F.collect_list(line).over(w), "\n"), F.lit("=")))
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extension
+from ..functions.text import extension, glob_regex
 from ..schemas import EXIF
 
 #: EXIF tags read.
@@ -18,19 +18,44 @@ TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software", 0x9003: "taken", 0x
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
-def scan(spark: SparkSession, folder: str, recursive: bool = False, extensions: list[str] | None = None, depth: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, folder: str, recursive: bool = False, extensions: list[str] | None = None, depth: int | None = None, include: list[str] | None = None) -> DataFrame:
     """(path, modificationTime, length, content) of a folder's files of the given endings; content is read only if used.
 
-    Spark doesn't list files of no bytes.
+    Folders deeper than ``depth`` (0: the folder itself) are not listed at all, those that can't be read are passed
+    over. include: globs of paths. No endings or globs: all files, those of no bytes too.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    folders, empty = _walk(spark, folder, depth if depth is not None else None if recursive else 0)
+    rows = spark.createDataFrame(empty, "path string, modificationTime timestamp, length long, content binary")
+    if folders:  # each is listed without those below it
+        rows = spark.read.format("binaryFile").load(folders).select("path", "modificationTime", "length", "content").filter("length > 0").unionByName(rows)
     if extensions:
-        df = df.filter(extension(F.col("path")).isin(*[e.lower().lstrip(".") for e in extensions]))
-    if depth is not None:
+        rows = rows.filter(extension(F.col("path")).isin(*[e.lower().lstrip(".") for e in extensions]))
+    if include:
         bare = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-        below = F.size(F.split(bare, "/")) - F.lit(len(os.path.abspath(folder).split("/")) + 1)
-        df = df.filter(below <= depth)
-    return df
+        rows = rows.filter(bare.rlike("|".join(f"(?:{glob_regex(g)})" for g in include)))
+    return rows
+
+
+def _walk(spark: SparkSession, folder: str, depth: int | None) -> tuple[list[str], list[tuple]]:
+    """(folders down to ``depth`` that hold files, files of no bytes), level by level."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    level, no, folders, empty = [hadoop.Path(folder)], 0, [], []
+    while level:
+        below = []
+        for at in level:
+            try:
+                here = list(fs.listStatus(at))
+            except Exception as e:  # noqa: BLE001
+                if not no:
+                    raise FileNotFoundError(folder) from e
+                continue
+            below += [f.getPath() for f in here if f.isDirectory()]
+            files = [f for f in here if not f.isDirectory()]
+            folders += [str(at)] if any(f.getLen() for f in files) else []
+            empty += [(str(f.getPath()), datetime.fromtimestamp(f.getModificationTime() / 1000), 0, bytearray()) for f in files if not f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+        level, no = (below if depth is None or no < depth else []), no + 1
+    return folders, empty
 
 
 def image_header(b: bytes | None) -> tuple[str | None, int, int]:
@@ -139,8 +164,3 @@ def uniform_bottom_rows(pixels: bytes, width: int, channels: int) -> int:
 
 def within_size(df: DataFrame, most: int = 10 * 1024 * 1024) -> DataFrame:
     return df.filter(F.col("length") <= most)
-
-
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line) of a text file, numbered in order by file part and place."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))

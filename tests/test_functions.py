@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from facetspark.functions import jsonx, numbers, text, vectors
 from facetspark.operators import rules
-from facetspark.sources import files
+from facetspark.providers import sliding_context
+from facetspark.sources import files, sinks
 
 
 def one(spark, value, f, kind="string"):
@@ -108,7 +109,25 @@ def test_image_files(spark, tmp_path):
     assert files.scan(spark, str(tmp_path), True, ["png", "jpg"], depth=0).count() == 1 and files.within_size(files.scan(spark, str(tmp_path)), 10).count() == 1
     assert files.uniform_bottom_rows(bytes([1, 2, 3, 4, 7, 7, 7, 7]), 2, 1) == 2 and files.uniform_bottom_rows(b"", 2, 1) == 0
     (tmp_path / "t.txt").write_text("a=1\nb=2")
-    assert [r.line for r in files.lines(spark, str(tmp_path / "t.txt")).orderBy("n").collect()] == ["a=1", "b=2"]
+    assert [r.line for r in sinks.read_lines(spark, str(tmp_path / "t.txt")).orderBy("n").collect()][:2] == ["a=1", "b=2"]
+
+
+def test_scan_goes_no_deeper_than_asked(spark, tmp_path):
+    for name, data in {"a.png": b"x", "none.png": b"", "b/c.jpg": b"y", "b/d/e.jpg": b"z", "b/d/note.txt": b"t"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    names = lambda *a, **k: sorted(r.path.rsplit("/", 1)[1] for r in files.scan(spark, str(tmp_path), *a, **k).select("path").collect())
+    assert names() == ["a.png", "none.png"] and names(depth=1) == ["a.png", "c.jpg", "none.png"]
+    assert names(True) == ["a.png", "c.jpg", "e.jpg", "none.png", "note.txt"] and names(True, ["jpg"]) == ["c.jpg", "e.jpg"]
+    assert names(True, include=["**/d/*.jp*", "**/a.png"]) == ["a.png", "e.jpg"]
+    assert files._walk(spark, str(tmp_path), 0)[0] == [str(tmp_path)]  # what lies below wasn't listed
+    with pytest.raises(FileNotFoundError):
+        files.scan(spark, str(tmp_path / "gone"))
+
+
+def test_context_of_several_documents(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "d string, n int, t string")
+    assert {(r.d, r.n): r.prompt for r in sliding_context(df, "n", "t", 1, ["d"]).collect()} == {("a", 1): "x=", ("a", 2): "x\ny=", ("b", 1): "z="}
 
 
 def test_formats(spark):
