@@ -569,6 +569,34 @@ def damage_and_scale(t):
     return t(V).select("id", _r(numbers.damage_percent(F.col("undecodable_pixels"), F.col("width"), F.col("height"))).alias("damage"), _r(numbers.fit_scale(F.col("width"), F.col("height"), 2048)).alias("scale"))
 
 
+@query(r"""SELECT id, CASE WHEN lower(image_format) IN ('png', 'webp') THEN lower(image_format) ELSE 'jpeg' END AS kind, '#' || left(image_hash, 8) AS version, split_part(description, chr(10), 1) AS first_line, split_part(url, '=', 1) AS tag,
+array_to_string(list_filter(list_transform(string_split(description, ','), lambda x: lower(trim(x))), lambda x: x <> ''), '|') AS parts, array_to_string(regexp_extract_all(description, '(?s).{1,44}'), '|') AS wrapped,
+'data:image/jpeg;base64,' || to_base64(encode(description)) AS uri, CASE WHEN length(regexp_replace(regexp_replace(description, '\.[a-zA-Z0-9]{1,6}$', ''), '\s+', '_', 'g')) <= 35 THEN regexp_replace(regexp_replace(description, '\.[a-zA-Z0-9]{1,6}$', ''), '\s+', '_', 'g') END AS name FROM valuation""")
+def text_parts(t):
+    d = F.col("description")
+    return t(V).select(
+        "id",
+        text.normal_format(F.col("image_format")).alias("kind"),
+        text.short_version(F.col("image_hash")).alias("version"),
+        text.first_line(d).alias("first_line"),
+        text.tag_of_line(F.col("url")).alias("tag"),
+        F.array_join(text.parse_list(d), "|").alias("parts"),
+        F.array_join(text.wrap(d), "|").alias("wrapped"),
+        text.data_uri(d.cast("binary")).alias("uri"),
+        text.clean_model_name(d).alias("name"),
+    )
+
+
+@query("SELECT id, 'file://' || array_to_string(list_transform(string_split(replace(source_path, chr(92), '/'), '/'), lambda x: url_encode(x)), '/') AS url FROM image_import")
+def file_urls(t):
+    return t(I).select("id", text.file_url(F.col("source_path")).alias("url"))
+
+
+@query("SELECT p.id, CAST(len(text_vec) AS BIGINT) AS size FROM vector_point p WHERE p.id IN (SELECT id FROM image_import WHERE status = 'indexed')")
+def vectors_by_ids(t):
+    return tables.vectors_of(t(P), t(I).filter("status = 'indexed'")).select("id", F.when(F.col("text_vec").isNotNull(), F.size("text_vec")).cast("long").alias("size"))
+
+
 @query("SELECT id, sha256(description) AS digest, CASE WHEN NOT isnan(max_value) THEN '¥' || printf('%.2f', max_value) END AS price, printf('%.1f', floor(size_bytes / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' AS size, format('{:,}', size_bytes) AS bytes FROM valuation")
 def text_formats(t):
     money = numbers.fixed(F.col("max_value"), 2, "¥")
