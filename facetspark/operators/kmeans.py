@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import aspect_label
 from ..functions.vectors import dist2
+from ..providers import embedded
 
 #: Fixed value: most passes over the data.
 MOST_PASSES = 1000
@@ -31,6 +33,18 @@ def centroids(df: DataFrame, features: str) -> DataFrame:
     return parts.groupBy("cluster").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c")).select("cluster", "n", F.col("c.m").alias("centre"))
 
 
+def with_features(df: DataFrame, metric: str, out: str = "f", name: str = "name", model: Callable | None = None) -> DataFrame:
+    """``df`` with the features to group its files by: resolution, aspect-ratio (of width and height; unknown ones are 0), or name (embedded by ``model``)."""
+    side = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    if metric == "resolution":
+        return df.withColumn(out, F.array(side("width"), side("height")))
+    if metric == "aspect-ratio":
+        return df.withColumn(out, F.array(F.when((side("width") > 0) & (side("height") > 0), side("width") / side("height")).otherwise(0.0)))
+    if metric == "name" and model is not None:
+        return embedded(df, name, out, model)
+    raise ValueError(f"no features for {metric}")
+
+
 def seeds(df: DataFrame, row_id: str, features: str, k: int, seed: int) -> list[list[float]]:
     """k-means++: each next centre is drawn with weight d2, by one pass that takes the largest ln(u) / d2."""
     rng = random.Random(seed)

@@ -497,6 +497,12 @@ def kmeans_update(t):
     return kmeans.centroids(_sizes(t), "f").select("cluster", "n", F.transform("centre", lambda x: F.round(x, 6)).alias("centre"))
 
 
+@query("WITH f AS (SELECT id, CASE WHEN width > 0 AND height > 0 THEN CAST(width AS DOUBLE) / height ELSE 0 END AS r FROM valuation), d AS (SELECT id, [(r - 0.7)**2, (r - 1.0)**2, (r - 1.5)**2]::DOUBLE[] AS ds FROM f) SELECT id, CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS cluster, round(list_min(ds), 9) AS d2 FROM d")
+def kmeans_assign_aspect(t):
+    f = kmeans.with_features(t(V).select("id", "width", "height"), "aspect-ratio")
+    return kmeans.assigned(f, "f", [[0.7], [1.0], [1.5]]).select("id", "cluster", _r("d2", 9).alias("d2"))
+
+
 @query()
 def kmeans_fixpoint(t):
     f = t(V).select("id", F.array(F.col("width").cast("double"), F.col("height").cast("double")).alias("f"))

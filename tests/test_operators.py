@@ -129,6 +129,16 @@ def test_kmeans(spark):
     assert kmeans.kmeans(df.limit(0), "id", "f", 2)[0].count() == 0
 
 
+def test_features_to_group_files_by(spark):
+    df = spark.createDataFrame([("a", 4, 2), ("b", 0, 3), ("c", None, None)], "name string, width int, height int")
+    got = lambda *a, **k: [r.f for r in kmeans.with_features(df, *a, **k).orderBy("name").collect()]
+    assert got("resolution") == [[4.0, 2.0], [0.0, 3.0], [0.0, 0.0]] and got("aspect-ratio") == [[2.0], [0.0], [0.0]]
+    assert [len(f) for f in got("name", model=lambda: providers.HashedEmbedding(8))] == [8, 8, 8]
+    for bad in ("name", "colour"):
+        with pytest.raises(ValueError):
+            kmeans.with_features(df, bad)
+
+
 def test_imports_and_tables(spark, tmp_path):
     row = "id long, source_path string, hash string, status string"
     old = spark.createDataFrame([(1, "a", "h1", "indexed"), (2, "b", "h2", "failed")], row)
