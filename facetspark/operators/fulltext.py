@@ -74,9 +74,8 @@ class Index:
         total = docs.agg(*[F.count_if(F.size(f"p{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
         hits = docs.filter(matches(tree, phrases)).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(self.statistics))  # one row each
         score = F.lit(0.0)
-        for i in range(len(phrases)):
+        for i, f in counted(tree, phrases).items():
             idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)))
-            f = F.size(f"p{i}").cast("double")
             score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") * F.col("n") / F.col("total")))
         return hits.select("id", score.alias("bm25"))
 
@@ -211,19 +210,47 @@ def matches(tree: tuple, phrases: list[Phrase]) -> Column:
         return F.size(f"p{args[0]}") > 0
     if name == "NEAR":
         *of, reach = args
-
-        def clump(i: int) -> Column:
-            end = len(phrases[i].words)
-            others = lambda s: reduce(lambda a, b: a & b, [F.exists(f"p{j}", lambda q: (q >= s) & (q - s - end <= reach)) for j in of if j != i], F.lit(True))
-            return F.exists(f"p{i}", others)
-
-        return reduce(lambda a, b: a | b, [clump(i) for i in of])
+        return reduce(lambda a, b: a | b, [F.exists(f"p{i}", _clump(of, reach, phrases)) for i in of])
     sides = [matches(a, phrases) for a in args]
     if name == "NOT":
         return sides[0] & ~sides[1]
     return reduce((lambda a, b: a & b) if name == "AND" else (lambda a, b: a | b), sides)
 
 
+def _clump(of: list[int], reach: int, phrases: list[Phrase]):
+    """Is a place the last of a clump, that is, has every phrase a place at or before it, ending at most ``reach`` words before?"""
+
+    def last(m: Column) -> Column:
+        return reduce(lambda a, b: a & b, [F.exists(f"p{j}", _within(m, len(phrases[j].words) + reach)) for j in of])
+
+    return last
+
+
+def _within(m: Column, back: int):
+    return lambda q: (q <= m) & (q >= m - back)
+
+
+def counted(tree: tuple, phrases: list[Phrase], under: Column | None = None) -> dict[int, Column]:
+    """How often each phrase counts for a document's rank: where all of the query around it matches, in NEAR only inside clumps."""
+    name, *args = tree
+    here = matches(tree, phrases) if under is None else under & matches(tree, phrases)
+    often = lambda places: F.when(here, F.size(places)).otherwise(0).cast("double")
+    if name == "PHRASE":
+        return {args[0]: often(F.col(f"p{args[0]}"))}
+    if name == "NEAR":
+        *of, reach = args
+        lasts = F.flatten(F.array(*[F.filter(f"p{j}", _clump(of, reach, phrases)) for j in of]))
+
+        def inside(i: int) -> Column:
+            return F.filter(f"p{i}", lambda q: F.exists(lasts, lambda m: (q <= m) & (q >= m - len(phrases[i].words) - reach)))
+
+        return {i: often(inside(i)) for i in of}
+    out = {}
+    for side in args[:1] if name == "NOT" else args:
+        out |= counted(side, phrases, here)
+    return out
+
+
 def bm25_search(df: DataFrame, doc_id: str, text: str, query: str) -> DataFrame:
     """(id, bm25) of the rows that match, without a stored index."""
     return Index.of(df, doc_id, text).search(query)

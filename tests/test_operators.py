@@ -83,6 +83,24 @@ def test_full_text_language(spark, tmp_path):
             index.search(bad)
 
 
+def test_full_text_against_sqlite(spark):
+    sqlite3 = pytest.importorskip("sqlite3")
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("CREATE VIRTUAL TABLE f USING fts5(t, tokenize='unicode61')")
+    except sqlite3.OperationalError:
+        pytest.skip("no FTS5")
+    r = random.Random(7)
+    words = "mill old bridge red windmill river".split()
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.choice([0, 1, 3, 6, 12])))) for i in range(1, 60)] + [(60, "Élan ÉLAN, naïve_mill"), (61, None)]
+    con.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", docs)
+    df = spark.createDataFrame(docs, "id long, t string").coalesce(1)
+    index = fulltext.Index(fulltext.postings(df, "id", "t").cache(), fulltext.statistics(df, "t").cache())
+    for q in ["elan", "mill old", "old + mill OR bri*", "old OR mill AND red", "red NOT old NOT mill", "NEAR(mill red, 1)", "NEAR(old + mill red bridge, 3) OR river", "(old old) NOT red OR wi*", "^old river OR red NOT ^mill"]:
+        want = dict(con.execute("SELECT rowid, -bm25(f) FROM f WHERE f MATCH ?", (q,)).fetchall())
+        assert {x.id: x.bm25 for x in index.search(q).collect()} == pytest.approx(want), q
+
+
 def probs(spark, *p):
     return spark.createDataFrame(list(enumerate(map(float, p))), "id long, prob double")
 
